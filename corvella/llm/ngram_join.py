@@ -28,12 +28,14 @@ from ._shared import Scratch, batch, free, utf8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A packed row holds about so many shingles.
 PACKED = 1 << 20
+#: A process remembers the hashes of so many words; then the memory starts anew.
+REMEMBERED = 250_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -198,7 +200,9 @@ PACK_DDL = "flush long, keys binary, sizes binary, lengths binary, hashes binary
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """Rows (key, n, set) packed, about PACKED columns each; set is an array of hashes' bytes."""
+    """Rows packed, about PACKED columns each: of (key, n, set), where set is an array of hashes'
+    bytes, or of (key, text), whose sets are made here."""
+    texts = "text" in rows.columns
 
     def run(batches):
         from pyspark import TaskContext
@@ -213,16 +217,24 @@ def pack(rows: DataFrame) -> DataFrame:
             held = 0
             return batch(PACK, [flush], [np.array(keys, dtype=np.int64).tobytes()], [np.array(sizes, dtype=np.int64).tobytes()], [np.array([len(s) // 8 for s in sets], dtype=np.int64).tobytes()], [b"".join(sets)])
 
+        def made(b):
+            if not texts:
+                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+                return
+            for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = shingles(text)
+                yield key, len(h), h.tobytes()
+
         for b in batches:
-            for key, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got.append((key, n, s))
-                held += len(s) // 8
+            for row in made(b):
+                got.append(row)
+                held += len(row[2]) // 8
                 if held >= PACKED:
                     yield out()
         if got:
             yield out()
 
-    return rows.select("key", "n", "set").mapInArrow(run, PACK_DDL)
+    return rows.select("key", *(("text",) if texts else ("n", "set"))).mapInArrow(run, PACK_DDL)
 
 
 COUNT = pa.schema([("block", pa.int32()), ("flush", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -431,14 +443,8 @@ def classes(docs: DataFrame, scratch: Scratch, *, percent: int = 75) -> DataFram
     sets = scratch.cut(candidates(docs, percent), "sets")
     reps = sets.where("alive").groupBy("digest").agg(F.min("key").alias("rep"))
 
-    def whole(batches):
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
-        for b in batches:
-            made = [shingles(t) for t in b.column(1).to_pylist()]
-            yield batch(schema, b.column(0), [len(h) for h in made], [h.tobytes() for h in made])
-
-    texts = docs.select("_key", utf8().alias("t")).join(reps.select(F.col("rep").alias("_key")), "_key", "left_semi")
-    packed = scratch.cut(pack(texts.mapInArrow(whole, "key long, n long, set binary")), "packed")
+    texts = docs.select(F.col("_key").alias("key"), utf8().alias("text")).join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
+    packed = scratch.cut(pack(texts), "packed")
 
     def shared(key, n, h, c):
         s = h[c > 1]

@@ -78,13 +78,13 @@ def queries() -> dict:
 
 
 #: A text's words as op8 takes them, as a list.
-_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP8 = rf"""
 with d as (select row_number() over () as k, doc_id, {_WORDS} as w from documents),
 b as (select item_id, {_WORDS} as w from benchmark),
 windows as (
-  select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), i -> array_to_string(w[i:i + 9], ' '))) as g, least(len(w), 10) as n
+  select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) as g, least(len(w), 10) as n
   from b where len(w) > 0),
 lengths as (select distinct n from windows),
 places as (
