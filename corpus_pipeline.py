@@ -39,7 +39,8 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    return packing.pack(docs, tokenizer=TOKENIZER)
+    # workers go on to other stages: they keep few words' ids
+    return packing.pack(docs, tokenizer=TOKENIZER, remembered=100_000)
 
 
 STAGES = [

@@ -72,6 +72,13 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of few rows, so that only a part's texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's text form modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, batch, free, utf8
+from ._shared import Scratch, batch, free, slices, utf8
 
 #: Lower-cases A-Z; white space is what bytes.split() takes for it: 09-0D and 20.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A packed row holds about so many shingles.
-PACKED = 1 << 20
+PACKED = 1 << 19
 #: A process remembers the hashes of so many words; then the memory starts anew.
 REMEMBERED = 250_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -114,7 +114,7 @@ def candidates(docs: DataFrame, percent: int) -> DataFrame:
             nonlocal held
             key = np.array(keys, dtype=np.int64)
             lengths = np.array([len(p) for p in prefixes])
-            h, owner = np.concatenate(prefixes), np.repeat(np.arange(len(key)), lengths)
+            h, owner = np.concatenate(prefixes), np.repeat(np.arange(len(key), dtype=np.int32), lengths)
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=bool)
@@ -133,7 +133,7 @@ def candidates(docs: DataFrame, percent: int) -> DataFrame:
             held = 0
             return batch(SEEN, *zip(*rows, strict=True))
 
-        for b in batches:
+        for b in slices(batches):
             for key, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingles(text)
                 n = len(h)
@@ -225,7 +225,7 @@ def pack(rows: DataFrame) -> DataFrame:
                 h = shingles(text)
                 yield key, len(h), h.tobytes()
 
-        for b in batches:
+        for b in slices(batches):
             for row in made(b):
                 got.append(row)
                 held += len(row[2]) // 8

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import batch
-from .tokenise import encoder
+from ._shared import batch, slices
+from .tokenise import REMEMBERED, encoder
 
 SCHEMA = pa.schema(
     [
@@ -127,7 +127,7 @@ class Packer:
         return full, more
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece of every document: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids if asked for. No shuffle: each partition packs its own
     documents, so padding never exceeds nothing and sequences never cross partitions.
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048
     def run(batches):
         from pyspark import TaskContext
 
-        encode, packer = encoder(tokenizer), Packer(window)
+        encode, packer = encoder(tokenizer, remembered), Packer(window)
         sequence, rows = TaskContext.get().partitionId() << 40, []
 
         def emit(held):
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048
             rows.clear()
             return made
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for held in packer.add(doc_id, np.append(encode(text), np.array([end_id], dtype=encode.dtype))):
                     emit(held)

@@ -8,8 +8,8 @@ import unicodedata
 
 import numpy as np
 
-#: A word's ids are remembered for so many words; then the memory starts anew.
-REMEMBERED = 1_000_000
+#: So many words' ids are remembered, and as many of those before them, of which what is met again stays.
+REMEMBERED = 500_000
 _PUNCTUATION = ".,;:!?#$%&*|\"()[]"
 
 
@@ -31,8 +31,10 @@ class Encoder(dict):
     tokens, characters that change under normalisation), goes to the library whole.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
+        self.before: dict[str, bytes] = {}
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,8 +58,12 @@ class Encoder(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.remembered:
+            self.before = dict(self)
             self.clear()
+        if (ids := self.before.get(word)) is not None:
+            self[word] = ids
+            return ids
         core = word.rstrip(_PUNCTUATION)
         if len(core) < len(word) and core.isalpha():
             ids = self[core] + self[word[len(core) :]]  # letters and what follows are never one token
@@ -79,11 +85,11 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, low.replace("\n", " ").replace("\t", " ").split(" "))), dtype=self.dtype)
 
 
-_kept: dict[str, Encoder] = {}
+_kept: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, remembered: int = REMEMBERED) -> Encoder:
     """The process's encoder for a tokenizer; a Python worker keeps it from task to task."""
-    if name not in _kept:
-        _kept[name] = Encoder(name)
-    return _kept[name]
+    if (name, remembered) not in _kept:
+        _kept[name, remembered] = Encoder(name, remembered)
+    return _kept[name, remembered]

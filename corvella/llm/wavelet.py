@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, batch
+from ._shared import Scratch, batch, slices
 from .tokenise import encoder
 
 MAGIC = b"CRVWM001"
@@ -214,7 +214,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 2, shar
                 x.clear()
             return row
 
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 made = to_ids(text)
                 ids += (made.tobytes(), end)
