@@ -1,11 +1,542 @@
-"""All queries of the retrieval engine over the test tables, and their SQL."""
+"""All queries of the retrieval engine over the test tables, and their SQL.
+
+A knowledge base is made of `documents`: path is source/doc_id, chunk_id is doc, doc_type is lang,
+mtime_ns is n_chars; its vectors are those of `embeddings` with the same id.
+"""
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vector as V
+from ..operators import chunk, fusion, keyword, knn, rerank
+from ..providers import HashingEmbedder
+from ..retriever import Retriever, expanded
+from ..sources.parse import parse
+from ..store import ChunkStore, changed, freshness, max_mtime
+from ..streaming.ingest import event_counts
+from . import oracle
+
+#: What the catalogue's text queries ask.
+ASKED = "thndou entily the"
+WORD = "thand"
+
+_made: dict[str, tuple[Callable, str | None]] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(f: Callable) -> Callable:
+    """Register a query; its SQL is the oracle module's constant of that name."""
+    _made[f.__name__] = (f, getattr(oracle, f.__name__.upper(), None))
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _made.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without vectors."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
+        F.lit("doc").alias("chunk_id"),
+        "text",
+        F.col("lang").alias("doc_type"),
+        F.array().cast("array<string>").alias("heading_path"),
+        F.col("source").alias("section_title"),
+        F.col("n_chars").alias("mtime_ns"),
+        F.lit("{}").alias("metadata"),
+        "doc_id",
+    )
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return texts(spark, sf_dir).join(vectors, "doc_id").drop("doc_id")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit("v").alias("chunk_id"), "label", F.col("embedding").alias("vector"))
+
+
+@functools.cache
+def _first_vector(spark: SparkSession, sf_dir: str) -> tuple:
+    return tuple(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+class _Known:
+    """An embedder that knows one vector: that of the catalogue's queries."""
+
+    def __init__(self, vector):
+        self.vector, self.dim = list(vector), len(vector)
+
+    def embed(self, asked):
+        return [self.vector for _ in asked]
+
+
+def retriever(spark: SparkSession, sf_dir: str) -> Retriever:
+    return Retriever(chunks(spark, sf_dir), _Known(_first_vector(spark, sf_dir)))
+
+
+def rounded(c: str):
+    return F.round(c, 6).alias(c)
+
+
+# --- vector search ------------------------------------------------------------------------------
+
+
+@query
+def vector_knn_l2(spark, sf_dir):
+    return knn.nearest(vectors(spark, sf_dir), _first_vector(spark, sf_dir), 8).select("path", "label", "score")
+
+
+@query
+def vector_knn_batch(spark, sf_dir):
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return knn.nearest_each(vectors(spark, sf_dir), asked, 8).select("query_id", F.col("rank").cast("int").alias("rank"), "path", "score")
+
+
+@query
+def vector_knn_cosine(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("cosine", V.cosine(F.col("vector"), V.literal(_first_vector(spark, sf_dir))))
+    return rows.orderBy(F.desc("cosine"), "path").limit(8).select("path", rounded("cosine"))
+
+
+@query
+def vector_knn_prefilter_doc_type(spark, sf_dir):
+    return knn.nearest(chunks(spark, sf_dir), _first_vector(spark, sf_dir), 8, doc_type="de").select("path", "doc_type", "score")
+
+
+@query
+def vector_knn_prefilter_path(spark, sf_dir):
+    return knn.nearest(chunks(spark, sf_dir), _first_vector(spark, sf_dir), 8, path_filter="src1").select("path", "score")
+
+
+@query
+def image_knn(spark, sf_dir):
+    images = vectors(spark, sf_dir).withColumnRenamed("chunk_id", "image_id").withColumn("page_num", F.col("label"))
+    return knn.nearest(images, _first_vector(spark, sf_dir), 5, ties=("path", "image_id")).select("path", "page_num", "score")
+
+
+@query
+def vector_knn_ivf(spark, sf_dir):
+    """Share of the exact 8 nearest that a search of the cells finds; approximate, so without SQL."""
+    rows, q = vectors(spark, sf_dir), _first_vector(spark, sf_dir)
+    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/corvella/cells-{uuid.uuid4().hex}"
+    index = knn.CellIndex.build(rows, folder, cells=16)
+    if index is None:
+        return knn.nearest(rows, q, 8).agg(F.lit(1.0).alias("recall"), F.count("*").alias("n"))
+    exact = knn.nearest(rows, q, 8).select("path")
+    found = index.search(spark, q, 8, probes=12).select("path", F.lit(1).alias("hit"))
+    return exact.join(found, "path", "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"), F.count("*").alias("n"))
+
+
+@query
+def vector_dim_check(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.size(V.checked(F.col("embedding"), 64)).alias("dim")).groupBy("dim").agg(F.count("*").alias("n"))
+
+
+@query
+def zero_vector_filter(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").agg(F.count(F.when(V.is_zero(F.col("embedding")), 1)).alias("zero"), F.count(F.when(~V.is_zero(F.col("embedding")), 1)).alias("other"))
+
+
+# --- keyword search -----------------------------------------------------------------------------
+
+
+@query
+def keyword_bm25(spark, sf_dir):
+    return keyword.keyword_search(texts(spark, sf_dir), WORD, 24).select("path", F.col("rank").cast("int").alias("rank"), rounded("bm25"))
+
+
+@query
+def keyword_bm25_path_filter(spark, sf_dir):
+    return keyword.keyword_search(texts(spark, sf_dir), WORD, 24, path_filter="src1").select("path", F.col("rank").cast("int").alias("rank"), rounded("bm25"))
+
+
+@query
+def keyword_like_fallback(spark, sf_dir):
+    return keyword.keyword_search(texts(spark, sf_dir), WORD, 24, literal_only=True).select("path", F.col("rank").cast("int").alias("rank"))
+
+
+@query
+def keyword_multi_term(spark, sf_dir):
+    return keyword.keyword_recall(texts(spark, sf_dir), ASKED, 24).select("path", F.col("term_pos").cast("int").alias("term_pos"), F.col("kw_rank").cast("int").alias("kw_rank"))
+
+
+@query
+def ngram_doc_length(spark, sf_dir):
+    return texts(spark, sf_dir).select("path", keyword.gram_length(F.lower("text")).cast("long").alias("dl"))
+
+
+@query
+def ngram_postings(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("name").alias("chunk_id"), F.col("p_name").alias("text"))
+    return keyword.postings(names).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+# --- fusion -------------------------------------------------------------------------------------
+
+
+@query
+def rrf_fusion(spark, sf_dir):
+    rows = retriever(spark, sf_dir).recall(ASKED)
+    return rows.select("path", F.col("sem_rank").cast("int").alias("sem_rank"), F.col("kw_rank").cast("int").alias("kw_rank"), rounded("rrf_score"), "source")
+
+
+@query
+def hybrid_topk(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED, use_rerank=False)
+    return rows.select(F.col("rank").cast("int").alias("rank"), "path", rounded("rrf_score"), "source", "ranked_by")
+
+
+@query
+def hybrid_mode_semantic(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED, mode="semantic", use_rerank=False)
+    return rows.select(F.col("rank").cast("int").alias("rank"), "path", rounded("score"), "ranked_by")
+
+
+@query
+def hybrid_mode_keyword(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED, mode="keyword")
+    return rows.select(F.col("rank").cast("int").alias("rank"), "path", "score", "ranked_by")
+
+
+@query
+def hybrid_path_filter(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED, use_rerank=False, path_filter="src2")
+    return rows.select(F.col("rank").cast("int").alias("rank"), "path", "source")
+
+
+@query
+def dedup_key(spark, sf_dir):
+    rows = texts(spark, sf_dir).withColumn("chunk_id", F.when(F.length("text") % 2 == 0, F.col("chunk_id")).otherwise(""))
+    return rows.select("path", F.md5(T.dedup_key(F.col("path"), F.col("chunk_id"), F.col("text"))).alias("key"))
+
+
+@query
+def dedup_keep_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return fusion.keep_first(docs.withColumn("key", F.substring(F.sha2("text", 256), 1, 16)), ["key"], [F.col("doc_id")]).select("doc_id", "key")
+
+
+@query
+def multi_query_merge(spark, sf_dir):
+    parts = [keyword.keyword_recall(texts(spark, sf_dir), q, 24).withColumn("query_pos", F.lit(i)) for i, q in enumerate(("thand", "entily"))]
+    rows = parts[0].unionByName(parts[1]).withColumn("score", 1 / (fusion.RRF_K + F.col("kw_rank")))
+    return fusion.merge_queries(rows, ["dedup"], "score", "query_pos").select("path", F.col("query_pos").cast("int").alias("query_pos"), rounded("score"))
+
+
+@query
+def cross_kb_topk(spark, sf_dir):
+    talk = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.lit("turn").alias("chunk_id"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.concat(F.lit("p"), "page_id").alias("chunk_id"), F.col("html").alias("text"))
+    kbs = {"conversations": talk, "documents": texts(spark, sf_dir).select("path", "chunk_id", "text"), "pages": pages}
+    found = {n: keyword.keyword_search(rows, WORD, 8) for n, rows in kbs.items()}
+    order = [F.desc(F.round("bm25", 6)), F.col("kb"), F.col("path"), F.col("chunk_id")]
+    return fusion.union_corpora(found, 8, order).select(F.col("rank").cast("int").alias("rank"), "kb", "path", rounded("bm25"))
+
+
+# --- rerank and results -------------------------------------------------------------------------
+
+
+@query
+def rerank_lexical(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED)
+    return rows.select(F.col("rank").cast("int").alias("rank"), "path", "score", "ranked_by")
+
+
+@query
+def rerank_fallback(spark, sf_dir):
+    failing = Retriever(chunks(spark, sf_dir), _Known(_first_vector(spark, sf_dir)), score=lambda q, t: F.lit(None).cast("double"))
+    return failing.retrieve(ASKED).select(F.col("rank").cast("int").alias("rank"), "path", rounded("score"), "ranked_by")
+
+
+@query
+def jaccard_turns(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("tokens", T.tokens(F.col("text"))).withColumn("before", F.lag("tokens").over(w)).where("before is not null")
+    return rows.select("conv_id", "turn", F.round(T.jaccard(F.col("tokens"), F.col("before")), 6).alias("jaccard"))
+
+
+@query
+def mmr_reorder(spark, sf_dir):
+    """Greedy choice, so without SQL; tested against brute force."""
+    return retriever(spark, sf_dir).retrieve(ASKED, use_rerank=False, mmr=True).select("rank", "path", rounded("rrf_score"))
+
+
+@query
+def explain_columns(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED)
+    return rows.select("path", F.col("explain")["source"].alias("source"), F.col("explain")["ranked_by"].alias("ranked_by"), F.size("explain").alias("parts"))
+
+
+@query
+def trace_stages(spark, sf_dir):
+    return retriever(spark, sf_dir).trace(ASKED, use_rerank=False).groupBy("stage").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
+
+
+@query
+def result_format(spark, sf_dir):
+    rows = retriever(spark, sf_dir).retrieve(ASKED, mode="keyword")
+    return rows.select("path", F.md5(rerank.agent_text()).alias("md5"))
+
+
+@query
+def parent_context(spark, sf_dir):
+
+
+    docs = texts(spark, sf_dir).select("path", F.col("text").alias("content"))
+    cut = texts(spark, sf_dir).withColumn("text", F.substring("text", 601, 300)).where("length(text) > 0")
+    return expanded(cut, docs, around=50).select("path", F.md5("context").alias("md5"))
+
+
+# --- query analysis -----------------------------------------------------------------------------
+
+
+def turns(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").withColumn("context", F.coalesce(F.lag("text").over(w), F.lit(""))).where("role = 'user'")
+
+
+@query
+def query_features(spark, sf_dir):
+    q = F.col("text")
+    return turns(spark, sf_dir).select("conv_id", "turn", fusion.query_units(q).cast("long").alias("units"), fusion.semantic_weight(q).cast("double").alias("semantic_weight"))
+
+
+@query
+def query_route(spark, sf_dir):
+    return turns(spark, sf_dir).groupBy(fusion.route(F.col("text")).alias("route")).agg(F.count("*").alias("n"))
+
+
+@query
+def query_disambiguate(spark, sf_dir):
+    rows = turns(spark, sf_dir).withColumn("short", F.expr("substring(text, 1, cast(turn % 4 as int))"))
+    return rows.select("conv_id", "turn", fusion.disambiguated(F.col("short"), F.col("context")).alias("query"))
+
+
+# --- chunks -------------------------------------------------------------------------------------
+
+
+def markdown(spark, sf_dir):
+    """Documents whose every fourth line, from the first, is a heading, with blank lines between."""
+    lines = F.split("text", "\n")
+    md = F.array_join(F.transform(lines, lambda line, i: F.when(i % 4 == 0, F.concat(F.lit("## "), line)).otherwise(line)), "\n\n")
+    return table(spark, sf_dir, "documents").select("doc_id", md.alias("text"))
+
+
+@query
+def chunk_sections(spark, sf_dir):
+    return chunk.section_rows(markdown(spark, sf_dir)).select("doc_id", "pos", F.md5("section").alias("md5"))
+
+
+@query
+def chunk_paragraphs(spark, sf_dir):
+    rows = markdown(spark, sf_dir).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "p"))
+    return rows.select("doc_id", "pos", F.md5("p").alias("md5"))
+
+
+@query
+def chunk_flags(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_code(F.col("text")).alias("code"), T.has_table(F.regexp_replace("text", "(?m)^(.*)$", "|$1|")).alias("as_table"), T.has_table(F.col("text")).alias("is_table"))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("doc_type"), F.col("text").alias("content"))
+
+
+@query
+def chunk_document(spark, sf_dir):
+    """Chunks of the derived Markdown; a fold that SQL has no name for. Tested for loss and bounds."""
+    rows = chunk.chunk_documents(as_documents(markdown(spark, sf_dir)))
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.max(F.octet_length("text")).alias("most_bytes"), F.countDistinct("chunk_id").alias("ids"))
+
+
+@query
+def chunk_hard_split(spark, sf_dir):
+    docs = as_documents(table(spark, sf_dir, "documents")).withColumn("doc_type", F.lit("image"))
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for b in batches:
+            rows = [(p, k, s, hashlib.md5(t[s:e].encode()).hexdigest()) for p, t in zip(b["path"], b["content"], strict=True) for k, (s, e) in enumerate(chunk.bounded(t or "", chunk.MAX_CHARS, chunk.MAX_BYTES))]
+            yield pd.DataFrame(rows, columns=["path", "part", "start", "md5"])
+
+    return docs.mapInPandas(run, "path string, part long, start long, md5 string")
+
+
+@query
+def chunk_hard_split_native(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.posexplode(chunk.hard_parts(F.col("text"))).alias("part", "p"))
+    return rows.select("doc_id", "part", F.md5("p").alias("md5"))
+
+
+# --- files --------------------------------------------------------------------------------------
+
+
+@query
+def doc_type_detect(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(T.doc_type(F.col("url")).alias("doc_type"), T.suffix(F.col("url")).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+@query
+def title_extract(spark, sf_dir):
+    headed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
+    path = F.concat("source", F.lit("/my_note-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.title(headed, path).alias("title"))
+
+
+@query
+def file_metadata(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def page_concat(spark, sf_dir):
+    pages = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("number"), F.col("text").alias("content"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(pages.alias("p")).select("conv_id", F.md5(T.page_text(F.col("p"))).alias("md5"))
+
+
+@query
+def html_text_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("md5"))
+
+
+@query
+def parse_error_rows(spark, sf_dir):
+    """Every page as a file: those with an even id as text, the others as a spreadsheet that no parser reads."""
+    name = F.concat(F.lit("f/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".html").otherwise(".xlsx"))
+    files = table(spark, sf_dir, "pages").select(name.alias("path"), F.col("html").cast("binary").alias("content"), F.lit(0).cast("long").alias("mtime_ns"))
+    return parse(files).groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
+@query
+def description_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.preview(F.col("text"), 500)).alias("md5"))
+
+
+@query
+def summary_truncate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.truncated(F.col("text"))).cast("long").alias("n"), F.md5(T.truncated(F.col("text"))).alias("md5"))
+
+
+@query
+def embed_hashing(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(HashingEmbedder(16).column(F.col("p_name"))).alias("i", "x"))
+    return rows.select("p_partkey", "i", F.round("x", 6).alias("x"))
+
+
+# --- tables and their upkeep --------------------------------------------------------------------
+
+
+@query
+def kb_stats(spark, sf_dir):
+    return texts(spark, sf_dir).agg(F.count("*").alias("total_chunks"), F.countDistinct("path").alias("unique_files"), F.countDistinct("doc_type").alias("doc_types"))
+
+
+@query
+def doc_type_counts(spark, sf_dir):
+    return texts(spark, sf_dir).groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
+def event_chunks(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("user_id").cast("string").alias("path"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("mtime_ns"))
+
+
+@query
+def max_mtime_by_path(spark, sf_dir):
+    return max_mtime(event_chunks(spark, sf_dir))
+
+
+@query
+def last_index_time(spark, sf_dir):
+    return max_mtime(event_chunks(spark, sf_dir)).agg(F.date_format(F.timestamp_micros((F.max("mtime_ns") / 1000).cast("long")), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def on_disk(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("mtime_ns"))
+
+
+def indexed(spark, sf_dir):
+    """Labelled documents, at other times by their labels; and pages, which are not on disk."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    own = docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), (F.col("n_chars") + F.col("quality") - 1 + F.col("toxic")).alias("mtime_ns"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), F.col("page_id").alias("mtime_ns"))
+    return own.unionByName(pages)
+
+
+@query
+def freshness_diff(spark, sf_dir):
+    return freshness(on_disk(spark, sf_dir), indexed(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def incremental_discovery(spark, sf_dir):
+    return changed(on_disk(spark, sf_dir), indexed(spark, sf_dir))
+
+
+@query
+def prune_orphans(spark, sf_dir):
+    return indexed(spark, sf_dir).join(on_disk(spark, sf_dir).select("path"), "path", "left_anti").select("path")
+
+
+def _store(spark) -> ChunkStore:
+    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/corvella/store-{uuid.uuid4().hex}"
+    return ChunkStore(spark, folder, dim=64)
+
+
+@query
+def upsert_replace_by_path(spark, sf_dir):
+    """A stored table after its labelled documents' chunks were replaced by others of the same path."""
+    store = _store(spark)
+    store.upsert(chunks(spark, sf_dir))
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
+    store.upsert(chunks(spark, sf_dir).join(labelled, "path", "left_semi").withColumn("text", F.lit("new")).withColumn("mtime_ns", F.col("mtime_ns") + 1))
+    return store.read().select("path", F.md5("text").alias("md5"), "mtime_ns")
+
+
+@query
+def delete_by_path(spark, sf_dir):
+    store = _store(spark)
+    store.upsert(chunks(spark, sf_dir))
+    store.delete(chunks(spark, sf_dir).where("doc_type = 'fr'").select("path"))
+    return store.read().groupBy("doc_type").agg(F.count("*").alias("n"))
+
+
+@query
+def event_counts_by_day(spark, sf_dir):
+    return event_counts(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def stream_event_counts(spark, sf_dir):
+    """The same counts from a stream that reads the table to its end."""
+    name = f"counts_{uuid.uuid4().hex}"
+    files = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(files).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(files if spark.read.format("binaryFile").load(files).count() > 1 else f"{sf_dir}/events.parquet*")
+    run = event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+

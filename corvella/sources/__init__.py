@@ -1 +1 @@
-"""Spark-native document retrieval engine."""
+"""Where documents come from and where results go."""
