@@ -71,15 +71,16 @@ def rrf(semantic: DataFrame, keyword: DataFrame, keys: list[str], weight: Column
     )
 
 
-#: The order of fused rows: score, then the place in the semantic, then in the keyword list.
-ORDER = (F.desc("rrf_score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("kw_rank"))
+def order() -> tuple[Column, ...]:
+    """Of fused rows: score, then the place in the semantic, then in the keyword list."""
+    return F.desc("rrf_score"), F.asc_nulls_last("sem_rank"), F.asc_nulls_last("kw_rank")
 
 
-def top(rows: DataFrame, k: int, order, by: list[str] | None = None, name: str = "rank") -> DataFrame:
+def top(rows: DataFrame, k: int, order_by, by: list[str] | None = None, name: str = "rank") -> DataFrame:
     """The k first rows in order, of each group if `by` is given, numbered from 1."""
     if by is None:
-        rows, by = rows.orderBy(*order).limit(k), [F.lit(0)]
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+        rows, by = rows.orderBy(*order_by).limit(k), [F.lit(0)]
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order_by))).where(F.col(name) <= k)
 
 
 def keep_first(rows: DataFrame, key: list[str], order) -> DataFrame:

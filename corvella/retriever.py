@@ -79,10 +79,10 @@ class Retriever:
         wanted = 2 * top_k if mmr else top_k
         rows = rows.withColumn("query_id", F.lit(0))
         if use_rerank and mode != "keyword":
-            few = fusion.top(rows, recall_size, fusion.ORDER, name="_place").drop("_place")
-            out = rerank.rerank(few, self.score(F.lit(query), F.col("text")), wanted, by=["query_id"], recall_order=fusion.ORDER)
+            few = fusion.top(rows, recall_size, fusion.order(), name="_place").drop("_place")
+            out = rerank.rerank(few, self.score(F.lit(query), F.col("text")), wanted, by=["query_id"], recall_order=fusion.order())
         else:
-            out = fusion.top(rows, wanted, fusion.ORDER).withColumn("rerank_score", F.lit(None).cast("double"))
+            out = fusion.top(rows, wanted, fusion.order()).withColumn("rerank_score", F.lit(None).cast("double"))
             out = out.withColumn("ranked_by", F.when(F.col("source") == "keyword", "keyword").otherwise("embedding"))
         if mmr:
             out = rerank.mmr(out.withColumn("_by", F.coalesce("rerank_score", "rrf_score")), top_k, weight=mmr_lambda, score="_by").drop("_by")
@@ -105,7 +105,7 @@ class Retriever:
         parts = [
             stage("semantic_recall", recall.where("sem_rank is not null"), F.col("sem_rank"), F.col("score")),
             stage("keyword_recall", recall.where("kw_rank is not null"), F.col("kw_rank"), F.lit(None)),
-            stage("rrf_fusion", fusion.top(recall, RECALL, fusion.ORDER), F.col("rank"), F.col("rrf_score")),
+            stage("rrf_fusion", fusion.top(recall, RECALL, fusion.order()), F.col("rank"), F.col("rrf_score")),
             stage("final_results", final, F.col("rank"), F.col("score")),
         ]
         out = parts[0]
