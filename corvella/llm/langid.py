@@ -51,12 +51,16 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
 def fit(docs: DataFrame, *, per_lang: int = 1000, smooth: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities (trigram x language).
 
-    For each value of lang at most `per_lang` rows train: those of smallest hash of their text.
-    The bound keeps each language's group within one task; counts are made on the executors and
-    one fixed-size vector per language reaches the driver. Rows without text or lang don't train.
+    For each value of lang at most `per_lang` distinct texts train: those of smallest hash. Only
+    hashes are ranked; the largest one taken of each language then selects the texts, so no task
+    gathers more text than a language's sample. Counts are made on the executors and one
+    fixed-size vector per language reaches the driver. Rows without text or lang don't train.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
-    picked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_n") <= per_lang)
+    hashes = rows.select("lang", "_h").distinct()
+    ranked = hashes.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= per_lang)
+    last = ranked.groupBy("lang").agg(F.max("_h").alias("_last"))
+    picked = rows.join(last, "lang").where(F.col("_h") <= F.col("_last")).groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
     def count(key, pdf):
         import pandas as pd
