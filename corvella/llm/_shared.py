@@ -45,7 +45,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, *, light: bool = False) -> DataFrame:
+        """`light`: rows are a few numbers, so a sixteenth of the partitions serves."""
+        if light:
+            df = df.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -291,11 +291,38 @@ def with_counts(packed: DataFrame, then, ddl: str) -> DataFrame:
 # --- components --------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+#: A graph of so many edges at most is solved in one task, in a few MB.
+SMALL_GRAPH = 500_000
+
+
+def joined(batches):
+    """(a, b) of a small graph by union-find: for every node but the smallest of its component, that one."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for t in batches:
+        for a, b in zip(*(c.to_pylist() for c in t.columns), strict=True):
+            x, y = top(a), top(b)
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            above[max(x, y)] = min(x, y)
+    rows = [(x, top(x)) for x in above if top(x) != x]
+    if rows:
+        yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *zip(*rows, strict=True))
+
+
+def components(edges: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
     """(a, b): for every node a but the smallest of a component, its smallest node b.
 
-    Large-star and small-star steps alternate until nothing changes; each is joins and minima.
+    `most` bounds the number of edges. A small graph is solved in one task; in a large one
+    large-star and small-star steps, which are joins and minima, alternate until nothing changes.
     """
+    if most <= SMALL_GRAPH:
+        return edges.select("a", "b").coalesce(1).mapInArrow(joined, "a long, b long")
 
     def stamp(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -365,8 +392,9 @@ PIVOTS = 24
 def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
     """(key, label) of all nodes, label the component's smallest key; and the nodes with a link.
 
-    groups: (gid, key); whatever can link shares a group. At first every node is multiplied with
-    the smallest of its groups' smallest nodes, which joins most of what belongs together. Then,
+    groups: (gid, key, central); whatever can link shares a group. At first every node is
+    multiplied with the most central of its groups' most central nodes, which is nearer to it than
+    most and joins most of what belongs together. Then,
     in rounds, each group that still holds several components takes pivots from its smallest ones,
     multiplies them with the nodes of other components, and lets them go. The first pivot is
     multiplied with all nodes: those leave, too, whose distance from it differs by more than the
@@ -374,8 +402,8 @@ def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) ->
     holds two components.
     """
     reach = 1 - percent / 100 + 1e-9
-    first = groups.groupBy("gid").agg(F.min("key").alias("b"))
-    pairs = groups.join(first, "gid").where("key <> b").groupBy(F.col("key").alias("a")).agg(F.min("b").alias("b"))
+    first = groups.groupBy("gid").agg(F.max(F.struct("central", "key")).alias("f"))
+    pairs = groups.join(first, "gid").where("key <> f.key").groupBy(F.col("key").alias("a")).agg(F.max("f").alias("f")).select("a", F.col("f.key").alias("b"))
     label = nodes.select("key", F.col("key").alias("label"))
     done = linked = None
     step = 0
@@ -384,9 +412,11 @@ def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) ->
         done = new if done is None else done.unionByName(new)
         links = new.where("linked").select("a", "b")
         linked = links if linked is None else linked.unionByName(links)
+        n = links.count()
         contracted = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        root = components(contracted, scratch, f"root{step}")
-        label = scratch.cut(label.join(root.toDF("label", "root"), "label", "left").select("key", F.coalesce("root", "label").alias("label")), f"label{step}")
+        if n:
+            root = components(contracted, n, scratch, f"root{step}")
+            label = scratch.cut(label.join(root.toDF("label", "root"), "label", "left").select("key", F.coalesce("root", "label").alias("label")), f"label{step}", light=True)
         if step:
             groups = remaining(member, done, label, reach)
         step += 1
@@ -395,16 +425,16 @@ def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) ->
         each = at.groupBy("gid", "label").agg(F.count("*").alias("c"))
         mixed = each.groupBy("gid").agg(F.count("*").alias("labels")).where("labels > 1").select("gid")
         sized = at.join(mixed, "gid", "left_semi").join(each, ["gid", "label"])
-        turn = sized.withColumn("turn", F.row_number().over(Window.partitionBy("gid").orderBy("c", "label", "key"))).where(F.col("turn") <= PIVOTS)
+        turn = sized.withColumn("turn", F.row_number().over(Window.partitionBy("gid").orderBy("c", "label", F.desc("central"), "key"))).where(F.col("turn") <= PIVOTS)
         pivots = turn.select("gid", F.col("key").alias("pivot"), F.col("label").alias("of"), "turn")
-        member = scratch.cut(sized.select("gid", "key", "label").join(pivots, "gid"), f"member{step}")
+        member = scratch.cut(sized.select("gid", "key", "label", "central").join(pivots, "gid"), f"member{step}", light=True)
         pairs = member.where("key <> pivot and (turn = 1 or label <> of)").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
         if member.isEmpty():
             return label, linked.select(F.col("a").alias("key")).unionByName(linked.select(F.col("b").alias("key"))).distinct()
 
 
 def remaining(member: DataFrame, done: DataFrame, label: DataFrame, reach: float) -> DataFrame:
-    """(gid, key) of the nodes that may still link across components of their group.
+    """(gid, key, central) of the nodes that may still link across components of their group.
 
     The group's pivots have met all nodes of other components. d is a node's distance from the
     first pivot; two nodes whose distances differ by more than `reach` can't link.
@@ -412,7 +442,7 @@ def remaining(member: DataFrame, done: DataFrame, label: DataFrame, reach: float
     pivots = member.select("gid", F.col("pivot").alias("key")).distinct()
     near = (
         member.where("turn = 1")
-        .select("gid", "key", "pivot")
+        .select("gid", "key", "central", "pivot")
         .join(pivots, ["gid", "key"], "left_anti")
         .join(done.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d"), ["key", "pivot"])
         .join(label, "key")
@@ -427,7 +457,7 @@ def remaining(member: DataFrame, done: DataFrame, label: DataFrame, reach: float
     ends = two(low, "lo").where("lo_lo2 is not null").join(two(high, "hi"), "gid")
     others_lo = F.when(F.col("label") == F.col("label_lo1"), F.col("lo_lo2")).otherwise(F.col("lo_lo1"))
     others_hi = F.when(F.col("label") == F.col("label_hi1"), F.col("hi_hi2")).otherwise(F.col("hi_hi1"))
-    return near.join(ends, "gid").where((F.col("d") >= others_lo - reach) & (F.col("d") <= others_hi + reach)).select("gid", "key")
+    return near.join(ends, "gid").where((F.col("d") >= others_lo - reach) & (F.col("d") <= others_hi + reach)).select("gid", "key", "central")
 
 
 def classes(docs: DataFrame, scratch: Scratch, *, percent: int = 75) -> DataFrame:
@@ -460,9 +490,10 @@ def classes(docs: DataFrame, scratch: Scratch, *, percent: int = 75) -> DataFram
             return []
         at = np.flatnonzero(c > 1)
         at = at[np.lexsort((h[at], c[at]))[:take]]
-        return [(g, key) for g in h[at].view(np.int64).tolist()]
+        central = int(c.mean() * 16)  # a row in the middle of its kind shares much with many
+        return [(g, key, central) for g in h[at].view(np.int64).tolist()]
 
-    columns = scratch.cut(with_counts(scratch.cut(pack(nodes), "node-pack"), rarest, "gid long, key long"), "columns")
+    columns = scratch.cut(with_counts(scratch.cut(pack(nodes), "node-pack"), rarest, "gid long, key long, central long"), "columns")
     # columns that hold the same rows are one group
     held = columns.groupBy("gid").agg(F.count("*").alias("c"), *(F.sum(F.xxhash64("key", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2))).where("c > 1")
     groups = scratch.cut(columns.join(held.groupBy("c", "s1", "s2").agg(F.min("gid").alias("gid")).select("gid"), "gid", "left_semi"), "groups")

@@ -70,6 +70,15 @@ def test_components_by_brute_force(spark, table, blocks):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_components_of_large_and_small_graphs(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    small = {tuple(r) for r in ngram_join.components(df, len(edges), Scratch(spark, "t"), "s").collect()}
+    large = {tuple(r) for r in ngram_join.components(df, 10**9, Scratch(spark, "t"), "l").collect()}
+    assert small == large and (460, 400) in small
+
+
 def test_join_edges(spark, edges, empty):
     got = ngram_join.component_ids(edges, Scratch(spark, "t")).collect()
     assert len(got) == 8 and {r.component_id for r in got if r.doc_id is None} == {None}
