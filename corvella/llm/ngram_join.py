@@ -405,6 +405,7 @@ def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) ->
     first = groups.groupBy("gid").agg(F.max(F.struct("central", "key")).alias("f"))
     pairs = groups.join(first, "gid").where("key <> f.key").groupBy(F.col("key").alias("a")).agg(F.max("f").alias("f")).select("a", F.col("f.key").alias("b"))
     label = nodes.select("key", F.col("key").alias("label"))
+    bounds = nodes.select("key", "n", F.expr("length(set) div 8").alias("s"))
     done = linked = None
     step = 0
     while True:
@@ -428,7 +429,12 @@ def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) ->
         turn = sized.withColumn("turn", F.row_number().over(Window.partitionBy("gid").orderBy("c", "label", F.desc("central"), "key"))).where(F.col("turn") <= PIVOTS)
         pivots = turn.select("gid", F.col("key").alias("pivot"), F.col("label").alias("of"), "turn")
         member = scratch.cut(sized.select("gid", "key", "label", "central").join(pivots, "gid"), f"member{step}", light=True)
-        pairs = member.where("key <> pivot and (turn = 1 or label <> of)").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        # of the other pivots' pairs, those whose sizes and shared columns leave room for a link
+        star = member.where("key <> pivot and turn = 1").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+        cross = member.where("turn > 1 and label <> of").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+        cross = cross.join(bounds.toDF("a", "n_a", "s_a"), "a").join(bounds.toDF("b", "n_b", "s_b"), "b")
+        cross = cross.where(100 * F.least("s_a", "s_b") >= percent * (F.col("n_a") + F.col("n_b") - F.least("s_a", "s_b"))).select("a", "b")
+        pairs = star.unionByName(cross).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
         if member.isEmpty():
             return label, linked.select(F.col("a").alias("key")).unionByName(linked.select(F.col("b").alias("key"))).distinct()
 
