@@ -7,8 +7,9 @@ is collapsed where rows have the same shared columns and size, and the rarest of
 columns, as many as its size allows to differ and one more, name the groups in which its partners
 are. Within groups, rows are multiplied with one pivot at a time. Overlaps with the pivot link
 rows; as Jaccard distance is a metric, they also discard pairs that differ too much from it.
-So a group of near copies costs a few products for each row, never all pairs, and no pair that
-could link different components goes unseen.
+No pair that could link different components goes unseen. Rows that link with no pivot are
+multiplied with every row of another component in their group that no bound rules out, so groups
+with many such rows cost more than in proportion to their size.
 
 Shingles are 64-bit hashes of exact word sequences.
 """

@@ -130,7 +130,7 @@ class Packer:
 def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece of every document: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids if asked for. No shuffle: each partition packs its own
-    documents, so padding never exceeds nothing and sequences never cross partitions.
+    documents, and sequences never cross partitions. All are full or of a power of two, so none is padded.
 
     A null or empty text is its end id alone. Null ids and repeated rows are documents like any
     other. sequence_id holds the partition above bit 40; it is unique, not gapless.
