@@ -1,7 +1,11 @@
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corvella.operators import fusion, keyword, knn, rerank
+from corvella.plans import catalogue
 from corvella.retriever import Retriever
 
 DDL = "path string, chunk_id string, text string, doc_type string, heading_path array<string>, section_title string, metadata string, vector array<float>"
@@ -37,6 +41,45 @@ def test_batch_equals_single(spark, sample):
         assert [(r.path, r.score) for r in got if r.query_id == q] == [(r.path, r.score) for r in one]
 
 
+def unit_vectors(n, dim=64):
+    x = np.random.default_rng(5).standard_normal((n, dim)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_cell_index_finds_what_brute_force_finds(spark, tmp_path):
+    """Vectors without structure, at the index's own settings and with all cells read."""
+    x = unit_vectors(6000)
+    pq.write_table(pa.table({"path": [str(i) for i in range(len(x))], "chunk_id": ["v"] * len(x), "vector": list(x)}), tmp_path / "rows.parquet")
+    rows = spark.read.parquet(f"file://{tmp_path}/rows.parquet").repartition(3)
+    asked = rows.where("path % 100 = 0").select(F.col("path").cast("long").alias("query_id"), "vector")
+    index = knn.CellIndex.build(rows, f"file://{tmp_path}/cells")
+    assert len(index.centroids) == 12
+    exact = x[::100].astype(float)
+    exact = ((exact[:, None] - x[None].astype(float)) ** 2).sum(axis=2).argsort(axis=1, kind="stable")[:, :8]
+    want = {(100 * i, str(j)) for i, near in enumerate(exact) for j in near}
+    pairs = lambda found: {(r.query_id, r.path) for r in found.collect()}
+    assert pairs(index.search_each(spark, asked, 8, probes=12)) == want
+    found = index.search_each(spark, asked, 8, block=7)
+    assert 0.9 <= len(pairs(found) & want) / len(want) < 1
+    assert [r.path for r in index.search(spark, x[100].tolist(), 8).collect()] == [r.path for r in found.where("query_id = 100").orderBy("rank").collect()]
+    measured = knn.recall(knn.nearest_each(rows, asked, 8), found).first()
+    assert measured.n == len(want) and measured.recall == pytest.approx(len(pairs(found) & want) / len(want))
+
+
+@pytest.mark.parametrize(("n", "least"), [(100, 1), (500, 1), (3000, 0.9)])
+def test_index_query_asks_all_its_vectors(spark, tmp_path, n, least):
+    """Of tables without an index, of one cell and of several."""
+    x = unit_vectors(n)
+    pq.write_table(pa.table({"vec_id": range(n), "embedding": list(x), "label": pa.array([0] * n, pa.int32())}), tmp_path / "embeddings.parquet")
+    measured = catalogue.queries()["vector_knn_ivf"](spark, f"file://{tmp_path}").first()
+    assert measured.n == 8 * n // 100 and least <= measured.recall <= 1
+
+
+def test_probes_grow_with_cells():
+    probes = [knn.ann_probes(n) for n in range(1, 257)]
+    assert probes == sorted(probes) and all(p <= n for n, p in enumerate(probes, 1)) and probes[0] == 1 and probes[-1] >= 128
+
+
 def test_path_filter_comes_before_ranking(spark):
     noise = [(f"/docs/n{i}.md", "c", "设计方案 设计细节 设计规范", "text", [0.0] * 8) for i in range(300)]
     rows = frame(spark, [*noise, ("/special/t.md", "c", "设计 target", "text", [0.0] * 8)])
