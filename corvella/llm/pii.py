@@ -78,31 +78,59 @@ def single_bytes(text: str) -> bytes:
 
 
 #: A pattern's words stand in so many characters beside the instance; a longer token is no identifier.
-REACH, LONGEST = 80, 64
+REACH, LONGEST = 80, 254
+
+#: Where a token may be an identifier: four digits in a row, or what addresses have.
+_hint = re.compile(rb"[0-9]{4}|@|[\[({<]at[\])}>]|[A-Za-z0-9_-]\.[A-Za-z]{2}|[0-9A-Fa-f][.:][0-9A-Fa-f]|::", re.I)
+_mail = re.compile(rb"[^\s@]@[^\s@]|\S[\[({<]at[\])}>]\S|[A-Za-z0-9_-]\.[A-Za-z]{2}", re.I)
+_numeric = re.compile(rb"[0-9 \t\xa0().+/-]+\Z")
+_groups = re.compile(rb"\+?(?:\([0-9]++\)|[0-9]++)(?:[ \t\xa0./-]{0,3}+(?:\([0-9]++\)|[0-9]++))*+")
+_address = re.compile(rb"[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,}\Z|[0-9A-Fa-f:]*::[0-9A-Fa-f:.]*\Z")
+
+
+def may_be(token: bytes) -> list[str]:
+    """The kinds that an identifier without expression may have: all with four digits in a row, else by shape."""
+    if _digits.search(token):
+        return list(KINDS)
+    n = sum(48 <= c <= 57 for c in token) if _numeric.match(token) else 0
+    like = {"email": _mail.search(token), "ip": _address.match(token) and re.search(rb"[0-9]", token), "card": 12 <= n <= 19, "phone": 6 <= n <= 15}
+    return [k for k in KINDS if like[k]]
+
+
+def runs(raw: bytes):
+    """Adjacent groups of digits, 6 to 19 in all, as one; to whitespace on both sides but for punctuation, or behind a cue."""
+    for m in _groups.finditer(raw):
+        if m.end() - m.start() < 6 or not 6 <= sum(48 <= c <= 57 for c in m[0]) <= 19:
+            continue
+        s, e = m.span()
+        before, behind = raw[max(0, s - 8) : s].rstrip(_edge), raw[e : e + 8].lstrip(_edge)
+        if (not before or before[-1] in _SPACE or raw[s - 1] in b":=#") and (not behind or behind[0] in _SPACE):
+            yield s, e
 
 
 def identifiers(raw: bytes, base) -> list[tuple[int, int]]:
-    """Tokens with four digits in a row, of at most LONGEST characters, that no base span touches."""
-    taken = sorted((s, e) for _, s, e in base)
-    out, after, k = [], 0, 0
-    for m in _digits.finditer(raw):
+    """Runs of digit groups, and other tokens that may_be() of some kind; none longer than LONGEST or touched by a base span."""
+    free = bytearray(raw)
+    for _, s, e in base:
+        free[s:e] = bytes(e - s)
+    raw = bytes(free)
+    out = [(s, e) for s, e in runs(raw)]
+    for s, e in out:
+        free[s:e] = bytes(e - s)
+    raw, after = bytes(free), 0
+    for m in _hint.finditer(raw):
         if m.start() < after:
             continue
         left, right = raw[max(0, m.start() - LONGEST) : m.start()], raw[m.end() : m.end() + LONGEST]
-        a = re.search(rb"\S*\Z", left)[0]
+        a = b"" if not left or left[-1] in _SPACE else left.split()[-1]
         b = re.match(rb"\S*", right)[0]
         start, end = m.start() - len(a), m.end() + len(b)
-        token = raw[start:end]
+        token, after = raw[start:end], end
         start += len(token) - len(token.lstrip(_edge))
         end -= len(token) - len(token.rstrip(_edge))
-        after = max(m.end(), end)
-        if not 0 < end - start <= LONGEST:
-            continue
-        while k < len(taken) and taken[k][1] <= start:
-            k += 1
-        if k == len(taken) or taken[k][0] >= end:
+        if 0 < end - start <= LONGEST and 0 not in (token := raw[start:end]) and may_be(token):
             out.append((start, end))
-    return out
+    return sorted(out)
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
@@ -119,14 +147,14 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def occurrences(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str | None, int, int, str, list[str]]]]:
-    """Base spans; and (kind or None, start, end, instance, patterns) of them and of other identifier-like tokens."""
+def occurrences(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str | None, int, int, str, list[str], list[str]]]]:
+    """Base spans; and (kind or None, start, end, instance, patterns, what it may be) of them and of other identifier-like tokens."""
     if not text:
         return [], []
     raw = single_bytes(text)
     base = base_spans(raw)
     rest = identifiers(raw, base)
-    return base, [(k, s, e, text[s:e], patterns(text, s, e)) for k, s, e in [*base, *((None, s, e) for s, e in rest)]]
+    return base, [(k, s, e, text[s:e], patterns(text, s, e), [k] if k else may_be(raw[s:e])) for k, s, e in [*base, *((None, s, e) for s, e in rest)]]
 
 
 SCAN = pa.schema(
@@ -134,10 +162,10 @@ SCAN = pa.schema(
         ("doc_id", pa.int64()),
         ("digest", pa.binary()),
         ("base", pa.string()),
-        ("seen", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]))),
+        ("seen", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("may", pa.list_(pa.string()))]))),
     ]
 )
-SCAN_DDL = "doc_id long, digest binary, base string, seen array<struct<kind:string,start:bigint,end:bigint,instance:string,patterns:array<string>>>"
+SCAN_DDL = "doc_id long, digest binary, base string, seen array<struct<kind:string,start:bigint,end:bigint,instance:string,patterns:array<string>,may:array<string>>>"
 
 
 def digest(text: str | None) -> bytes:
@@ -156,7 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 b.column(0),
                 [digest(t) for t in texts],
                 [",".join(f"{k}:{s}:{e}" for k, s, e in f[0]) for f in found],
-                [[dict(zip(("kind", "start", "end", "instance", "patterns"), o, strict=True)) for o in f[1]] for f in found],
+                [[dict(zip(("kind", "start", "end", "instance", "patterns", "may"), o, strict=True)) for o in f[1]] for f in found],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCAN_DDL)
@@ -167,14 +195,15 @@ def discover(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, least_see
 
     A pattern's score for a kind is the share of that kind's known instances among all distinct
     instances that it introduces, if they are `least_seeds` at least; a round makes an instance
-    known whose best pattern reaches `confident`. Counts are over distinct instances of the whole
+    known whose best pattern reaches `confident`, if it may be of that kind by its shape. Counts are over distinct instances of the whole
     corpus, so copies of a text add no weight. Edges are pre-aggregated before each shuffle.
     """
     seen = scanned.where(F.size("seen") > 0).select("digest", F.explode("seen").alias("o")).select("digest", "o.*")
     edges = scratch.cut(
-        seen.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("kind").alias("kind")),
+        seen.select("kind", "instance", "may", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.min("kind").alias("kind"), F.min("may").alias("may")),
         "edges",
     )
+    fits = F.array_contains("may", F.col("learned"))
     known = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known"))
     for i in range(rounds):
         scored = (
@@ -187,13 +216,14 @@ def discover(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, least_see
         )
         scored = scratch.cut(scored, f"patterns{i}")
         if i + 1 < rounds:
-            new = edges.where("kind is null").join(scored, "pattern").groupBy("instance").agg(F.max_by("learned", F.struct("confidence", "learned")).alias("known"))
+            new = edges.where("kind is null").join(scored, "pattern").where(fits).groupBy("instance").agg(F.max_by("learned", F.struct("confidence", "learned")).alias("known"))
             base = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known"))
             known = base.unionByName(new.join(base, "instance", "left_anti"))
     marks = (
         seen.where("kind is null")
-        .select("digest", "start", "end", F.explode("patterns").alias("pattern"))
+        .select("digest", "start", "end", "may", F.explode("patterns").alias("pattern"))
         .join(scored, "pattern")
+        .where(fits)
         .groupBy("digest", "start", "end")
         .agg(F.max_by("learned", F.struct("confidence", "learned")).alias("learned"))
     )

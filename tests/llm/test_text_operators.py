@@ -73,6 +73,45 @@ def test_contexts_discover_identifiers(spark, table):
     assert "2125557788" not in redacted[100] and "555" not in redacted[3] and redacted[102] == rows[-1][1]
 
 
+def test_contexts_discover_any_shape(spark, table):
+    """What no expression finds in the slots of what they find: mail addresses, numbers above 255, grouped digits."""
+    slot = {
+        "email": ("please write to our mail address {} for an answer", [f"user{i}@mail.example.com" for i in range(20)], ["jane[at]corp.com", "jan\u00e9@corp", "jane.corp.com"]),
+        "ip": ("today the main server host {} is down again", [f"10.1.2.{i}" for i in range(20)], ["10.1.2.999", "fe80::1"]),
+        "phone": ("please call our desk hotline number {} for help", [f"+1 (212) 555-{1000 + i}" for i in range(20)], ["(212) 555-7788", "212 55 77 88", "212.555.778", "(212)555-7788"]),
+        "card": ("this was paid with my card no {} on monday", [c for c in map(str, range(4111111111110000, 4111111111110300)) if luhn(c)][:20], ["4111 1111 1111 1112", "411 111 111 111 2"]),
+    }
+    rows, want = [], {}
+    for k, (text, seeds, unseen) in slot.items():
+        rows += [(len(rows) + i, text.format(x)) for i, x in enumerate(seeds)]
+        for x in unseen:
+            want[len(rows)] = (f"ctx_{k}:{text.index('{')}:{text.index('{') + len(x)}", text.format(f"[{k.upper()}]"))
+            rows.append((len(rows), text.format(x)))
+    # an ordinary word in a slot is none of these, and none of them is one elsewhere
+    plain = len(rows)
+    rows += [(plain, slot["email"][0].format("tomorrow")), (plain + 1, slot["phone"][0].format("twelve")), (plain + 2, "about 212 55 77 88 of them at corp.com or 10.1.2.999 there")]
+    docs = table(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(docs, Scratch(spark, "t")).collect()}
+    assert {i: (found[i].base, found[i].found) for i in want} == {i: ("", w) for i, (w, _) in want.items()}
+    redacted = {r.doc_id: r.text for r in pii.redact(docs, Scratch(spark, "t")).collect()}
+    assert {i: redacted[i] for i in want} == {i: w for i, (_, w) in want.items()}
+    assert all(found[i].found == "" and redacted[i] == rows[i][1] for i in range(plain, len(rows)))
+
+
+def test_identifiers_of_any_text():
+    """In order, apart from each other and from base spans, each of some kind; a run beside a base span stays whole."""
+    for t in random_texts(20000):
+        raw = pii.single_bytes(t)
+        base = pii.base_spans(raw)
+        got = pii.identifiers(raw, base)
+        assert all(e <= s for (_, e), (s, _) in zip(got, got[1:])), t
+        assert all(pii.may_be(raw[s:e]) for s, e in got) and not any(s < y and x < e for s, e in got for _, x, y in base), t
+    at = lambda t: [t[s:e] for s, e in pii.identifiers(pii.single_bytes(t), pii.base_spans(pii.single_bytes(t)))]
+    assert at("call (212) 555-7788 1.2.3.4, tel:(212) 555-7789; or 2125557788.") == ["(212) 555-7788", "(212) 555-7789", "2125557788"]
+    assert at("in 12 of 34 cases, 1999 at x-12345 and a.b1234") == ["1999", "x-12345", "a.b1234"]
+    assert at("1 " * 40000 + "x" * 100_000 + "1." * 50_000 + "12345") == []
+
+
 def test_edges(spark, edges, empty):
     held = F.lit(False)
     nothing = hashlib.sha256(b"").hexdigest()
