@@ -72,8 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, dict_bytes
     """Train on at most `per_class` labelled rows of each class: those of smallest hash of doc_id.
 
     `labels` has doc_id and quality (0 or 1); ids with contradicting labels and rows without
-    text are left out. The bound keeps what reaches the driver independent of the corpus.
-    None if either class has no text.
+    text are left out; of an id with several texts one serves, by hash. The bound keeps what
+    reaches the driver independent of the corpus. None if either class has no text.
     """
     one = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
@@ -83,12 +83,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 4000, dict_bytes
         .select(F.col("doc_id").alias("_id"), F.col("lo").alias("_y"), F.xxhash64(F.lit(17), "doc_id").alias("_h"))
     )
     picked = one.where("_y = 0").orderBy("_h", "_id").limit(per_class).unionByName(one.where("_y = 1").orderBy("_h", "_id").limit(per_class))
+    # one text of each id, so that no id's copies crowd out others; the bound is that of the labels
     rows = (
         docs.select("doc_id", utf8().alias("_t"))
         .join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
         .where("length(_t) > 0")
-        .select("_y", "_h", "_t")
-        .limit(4 * per_class)
+        .groupBy("_id", "_y", "_h")
+        .agg(F.min(F.struct(F.xxhash64("_t").alias("h"), "_t"))["_t"].alias("_t"))
         .collect()
     )
     rows.sort(key=lambda r: (r["_h"], r["_t"]))

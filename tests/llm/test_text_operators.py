@@ -150,3 +150,12 @@ def test_quality_is_learned(spark, table):
     assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in range(200, 300)]) > 0.97
     assert quality.fit(docs, labels.limit(0)) is None
     assert quality.score(docs, model).columns == ["doc_id", "text", "quality_score"]
+
+
+def test_copies_of_an_id_crowd_no_one_out(table):
+    """A labelled id with very many texts counts once, and the choice does not depend on partitions."""
+    rows = [(1, f"quiet meadow river number {i} " * 20) for i in range(400)]
+    rows += [(i, f"stone cloud {i} and a quiet river {i} " * 20) for i in range(2, 6)] + [(i, f"buy!! $$$ {i} ###x {i} %%% " * 20) for i in range(6, 11)]
+    labels = table([(i, int(i < 6), 0) for i in range(1, 11)], "doc_id long, quality int, toxic int")
+    fitted = [quality.fit(table(part, "doc_id long, text string", parts), labels, per_class=5) for part, parts in ((rows, 1), (rows[::-1], 1), (rows, 3))]
+    assert all(m is not None and m.prior == 0.5 and m == fitted[0] for m in fitted)
