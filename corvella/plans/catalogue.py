@@ -333,6 +333,12 @@ def query_disambiguate(spark, sf_dir):
     return rows.select("conv_id", "turn", fusion.disambiguated(F.col("short"), F.col("context")).alias("query"))
 
 
+@query
+def query_disambiguate_whole(spark, sf_dir):
+    """As query_disambiguate, whose SQL cuts turns short, over whole user turns; tested by fixtures."""
+    return turns(spark, sf_dir).select("conv_id", "turn", fusion.disambiguated(F.col("text"), F.col("context")).alias("query"))
+
+
 # --- chunks -------------------------------------------------------------------------------------
 
 

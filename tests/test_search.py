@@ -133,6 +133,14 @@ def test_disambiguation(spark):
     assert all(r[0] == r.want for r in df.select(fusion.disambiguated(F.col("q"), F.col("c")), "want").collect())
 
 
+def test_whole_turns_are_disambiguated(spark, tmp_path):
+    """A short turn, one with a pronoun and long ones; turns of others are context only."""
+    talk = [("a", 1, "user", "tell me of facades and floor plans"), ("a", 2, "assistant", "which one, the north wall"), ("a", 3, "user", "它怎么样"), ("a", 4, "assistant", "good, very well"), ("a", 5, "user", "ok"), ("a", 7, "user", "a much longer question than three characters"), ("b", 1, "user", "no")]
+    pq.write_table(pa.table({c: list(v) for c, v in zip(("conv_id", "turn", "role", "text"), zip(*talk))}), tmp_path / "conversations.parquet")
+    got = {(r.conv_id, r.turn): r["query"] for r in catalogue.queries()["query_disambiguate_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {("a", 1): talk[0][3], ("a", 3): "wall 它怎么样", ("a", 5): "well ok", ("a", 7): talk[5][3], ("b", 1): "no"}
+
+
 def test_mmr_brute_force():
     import itertools
     import random
