@@ -308,6 +308,19 @@ def parent_context(spark, sf_dir):
     return expanded(cut, docs, around=50).select("path", F.md5("context").alias("md5"))
 
 
+def hard_chunks(spark, sf_dir):
+    """All hard-split chunks of all documents."""
+    docs = texts(spark, sf_dir).where("length(text) > 0")
+    return docs.select("path", F.posexplode(chunk.hard_parts(F.col("text"))).alias("part", "text")).withColumn("chunk_id", F.format_string("part-%04d", "part"))
+
+
+@query
+def parent_context_all(spark, sf_dir):
+    """As parent_context, whose SQL takes one piece of each long document, for every chunk of every document; tested against brute force."""
+    docs = texts(spark, sf_dir).select("path", F.col("text").alias("content"))
+    return expanded(hard_chunks(spark, sf_dir), docs, around=50).select("path", "chunk_id", F.md5("context").alias("md5"))
+
+
 # --- query analysis -----------------------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from corvella.operators import fusion, keyword, knn, rerank
+from corvella.operators import chunk, fusion, keyword, knn, rerank
 from corvella.plans import catalogue
 from corvella.retriever import Retriever
 
@@ -141,6 +143,31 @@ def test_whole_turns_are_disambiguated(spark, tmp_path):
     assert got == {("a", 1): talk[0][3], ("a", 3): "wall 它怎么样", ("a", 5): "well ok", ("a", 7): talk[5][3], ("b", 1): "no"}
 
 
+@pytest.fixture(scope="module")
+def documents(tmp_path_factory):
+    """A folder with documents of no, one and several chunks, and their texts by path."""
+    at = tmp_path_factory.mktemp("documents")
+    made = [None, "", "short \u00e9 text", "aaaa", *(" ".join(f"word{i * k % 977}" for i in range(k)) for k in (90, 300, 1200))]
+    rows = {"doc_id": range(len(made)), "text": made, "lang": ["en"] * len(made), "source": ["s"] * len(made), "n_chars": [len(t or "") for t in made]}
+    pq.write_table(pa.table(rows), at / "documents.parquet")
+    return f"file://{at}", {f"s/{i}": t or "" for i, t in enumerate(made)}
+
+
+def parts(made):
+    """(path, chunk_id) and text of every hard-split chunk."""
+    return {(p, f"part-{k:04d}"): t[i : i + chunk.MAX_CHARS] for p, t in made.items() for k, i in enumerate(range(0, len(t), chunk.MAX_CHARS))}
+
+
+def test_every_chunk_gets_its_context(spark, documents):
+    folder, made = documents
+    want = {}
+    for (p, c), t in parts(made).items():
+        at = made[p].index(t[:120])
+        want[p, c] = hashlib.md5(made[p][max(0, at - 50) : at + len(t) + 50].encode()).hexdigest()
+    got = catalogue.queries()["parent_context_all"](spark, folder).collect()
+    assert len(got) == len(want) > 6 and {(r.path, r.chunk_id): r.md5 for r in got} == want
+
+
 def test_mmr_brute_force():
     import itertools
     import random
