@@ -7,6 +7,8 @@ path filters apply to what is ranked. Only the query's n-grams are counted, in o
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +84,13 @@ def keyword_recall(chunks: DataFrame, query: str, k: int = 24, **how) -> DataFra
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(gram, path, chunk_id, tf): the n-gram index of short chunks, for many queries over one corpus."""
-    low = F.lower("text")
+    """(gram, path, chunk_id, tf): the n-gram index, for many queries over one corpus; in time linear in a chunk's length."""
+
+    @F.pandas_udf("array<struct<gram:string,tf:long>>")
+    def count(lowered):
+        import pandas as pd
 
-    def of(n: int) -> Column:
-        starts = F.when(F.length(low) >= n, F.sequence(F.lit(1), F.length(low) - (n - 1)))
-        return F.coalesce(F.transform(starts, lambda i: F.substr(low, i, F.lit(n))), F.array().cast("array<string>"))
+        return pd.Series([list(Counter(t[i : i + n] for n in GRAMS for i in range(len(t) - n + 1)).items()) if t else [] for t in lowered], dtype=object)
 
-    each = F.concat(*map(of, GRAMS))
-    return chunks.select("path", "chunk_id", F.explode(each).alias("gram")).groupBy("gram", "path", "chunk_id").agg(F.count("*").alias("tf"))
+    each = chunks.select("path", "chunk_id", F.explode(count(F.lower("text"))).alias("_g")).select(F.col("_g.gram").alias("gram"), "path", "chunk_id", F.col("_g.tf").alias("tf"))
+    return each.groupBy("gram", "path", "chunk_id").agg(F.sum("tf").alias("tf"))

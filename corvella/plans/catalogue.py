@@ -192,6 +192,12 @@ def ngram_postings(spark, sf_dir):
     return keyword.postings(names).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+@query
+def ngram_postings_chunks(spark, sf_dir):
+    """As ngram_postings, over the chunks of all documents; too slow as SQL, tested against brute force."""
+    return keyword.postings(hard_chunks(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 # --- fusion -------------------------------------------------------------------------------------
 
 
@@ -466,6 +472,20 @@ def embed_hashing(spark, sf_dir):
     return rows.select("p_partkey", "i", F.round("x", 6).alias("x"))
 
 
+@query
+def embed_hashing_chunks(spark, sf_dir):
+    """The embedder at its own dimension over the chunks of all documents, in batches; too slow as SQL, tested against brute force."""
+    embedder = HashingEmbedder()
+
+    @F.pandas_udf("array<double>")
+    def embed(asked):
+        import pandas as pd
+
+        return pd.Series(embedder.embed(asked.tolist()))
+
+    return hard_chunks(spark, sf_dir).select("path", "chunk_id", embed("text").alias("vector"))
+
+
 # --- tables and their upkeep --------------------------------------------------------------------
 
 

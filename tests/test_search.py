@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvella.operators import chunk, fusion, keyword, knn, rerank
 from corvella.plans import catalogue
+from corvella.providers import HashingEmbedder
 from corvella.retriever import Retriever
 
 DDL = "path string, chunk_id string, text string, doc_type string, heading_path array<string>, section_title string, metadata string, vector array<float>"
@@ -168,6 +170,33 @@ def test_every_chunk_gets_its_context(spark, documents):
     assert len(got) == len(want) > 6 and {(r.path, r.chunk_id): r.md5 for r in got} == want
 
 
+def test_postings_of_every_chunk(spark, documents):
+    folder, made = documents
+    df, cf = Counter(), Counter()
+    for t in parts(made).values():
+        tf = Counter(t.lower()[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1))
+        cf += tf
+        df.update(tf.keys())
+    got = catalogue.queries()["ngram_postings_chunks"](spark, folder).collect()
+    assert {r.gram: (r.df, r.cf) for r in got} == {g: (df[g], cf[g]) for g in df} and df["aa"] == 1 and cf["aa"] == 3
+
+
+def test_embedding_of_every_chunk(spark, documents):
+    """By the definition: signed hashes of trigrams; and in Catalyst the same."""
+    folder, made = documents
+    chunks, got = parts(made), catalogue.queries()["embed_hashing_chunks"](spark, folder)
+    assert got.count() == len(chunks)
+    for r in got.collect():
+        t, want = chunks[r.path, r.chunk_id].lower(), np.zeros(64)
+        for i in range(max(1, len(t) - 2)):
+            h = int(hashlib.md5(t[i : i + 3].encode()).hexdigest()[:8], 16)
+            want[h % 64] += (-1) ** (h // 64 % 2)
+        np.testing.assert_allclose(r.vector, want / np.linalg.norm(want))
+    longest = max(chunks.values(), key=len)
+    native = spark.createDataFrame([(longest,)], "t string").select(HashingEmbedder(4).column(F.col("t"))).first()[0]
+    np.testing.assert_allclose(native, HashingEmbedder(4).embed([longest])[0])
+
+
 def test_mmr_brute_force():
     import itertools
     import random
