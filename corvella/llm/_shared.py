@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,30 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+#: A bitmap has so many bits at most (8 MB); of very many values it tells less, and stays right.
+MOST_BITS = 1 << 26
+
+
+def bitmap(rows: DataFrame, column: str):
+    """maybe(values): whether each of an array of longs may stand in `column`; false is certain.
+
+    The bits are set on the executors; at most 8 MB of them reach the driver and go out again.
+    """
+    spark = rows.sparkSession
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
+    at = rows.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(bits - 1).alias("b"))
+    words = at.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toArrow()
+    mask = np.zeros(bits >> 6, dtype=np.int64)
+    mask[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    sent = spark.sparkContext.broadcast(mask)
+
+    def maybe(values):
+        b = values.astype(np.int64) & (bits - 1)
+        return (sent.value[b >> 6] >> (b & 63)) & 1 == 1
+
+    return maybe
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's text form modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -2,16 +2,21 @@
 
 Documents are rows and word shingles columns of a sparse incidence matrix. Its columns are dealt
 into blocks by hash; a block's task counts how many rows meet in each column. Those counts bound
-every overlap: a row whose shared columns are too few for its size is discarded, what remains
-is collapsed where rows have the same shared columns and size, and the rarest of a row's shared
-columns, as many as its size allows to differ and one more, name the groups in which its partners
-are. Within groups, rows are multiplied with one pivot at a time. Overlaps with the pivot link
-rows; as Jaccard distance is a metric, they also discard pairs that differ too much from it.
-No pair that could link different components goes unseen. Rows that link with no pivot are
-multiplied with every row of another component in their group that no bound rules out, so groups
-with many such rows cost more than in proportion to their size.
-
-Shingles are 64-bit hashes of exact word sequences.
+every overlap: a row whose shared columns are too few for its size is discarded, rows with the
+same shared columns and size collapse into one node, and the rarest of a node's shared columns, as
+many as its size allows to differ and one more, are its signature: nodes that link have a column
+of their signatures in common. Nodes that share such a column belong to the column's centre, which
+is the node of most shared columns among them; so the many columns of one family of near copies
+name one centre, and a node has few centres, however many columns it has.
+
+A centre's nodes are cut into tiles of bounded size. A tile is a block of the product of the matrix
+with its transpose: overlaps with the centre are added up first and join most of the tile in one
+component; what remains is multiplied with the tile, pairs below the bounds of their sizes being
+left out before and while overlaps accumulate. Pairs inside one component are never multiplied.
+A tile gives a row for each node that it joins, never a row for each pair.
+
+Nodes are named by what they contain, never by a place in a file, so that rows may be read in other
+partitions each time. Shingles are 64-bit hashes of exact word sequences, sets 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,11 +24,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, batch, free, slices, utf8
+from ._shared import Scratch, batch, bitmap, free, slices, utf8
 
 #: Lower-cases A-Z; white space is what bytes.split() takes for it: 09-0D and 20.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -31,6 +37,8 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 PACKED = 1 << 19
 #: A process remembers the hashes of so many words; then the memory starts anew.
 REMEMBERED = 250_000
+#: A tile has two blocks of about so many rows, or of so many shingles, at most.
+TILE_ROWS, TILE_ENTRIES = 1024, 1 << 20
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,40 +73,57 @@ def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
 def least_overlap(n, percent: int = 75):
     """The smallest overlap that a set of n can have with a partner."""
     return -(-n * percent // 100)
 
 
-def blocks_of(spark) -> int:
-    """Blocks of columns: as many as the session's shuffle partitions, which the deployment sizes."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def lead(n):
+    """How many common columns must stand in both prefixes, for sets of n."""
+    return n // 8 + 1
 
 
-def block(h: np.ndarray, blocks: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+def blocks_of(spark) -> int:
+    """Blocks of columns: twice the session's shuffle partitions, which the deployment sizes."""
+    return 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def by_block(h: np.ndarray, blocks: int):
     """(block, slice) over sorted hashes: a block is a range of hashes."""
-    edges = np.searchsorted(block(h, blocks), np.arange(blocks + 1, dtype=np.uint64))
+    of = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    edges = np.searchsorted(of, np.arange(blocks + 1, dtype=np.uint64))
     return [(b, slice(int(edges[b]), int(edges[b + 1]))) for b in np.flatnonzero(np.diff(edges)).tolist()]
 
 
+def starts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.empty(0, dtype=np.int64)
+
+
+def joined_arrays(values, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(values), dtype=dtype)
+
+
 # --- which documents can have a partner at all -------------------------------------------------
 
-SEEN = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("ids", pa.list_(pa.int64()))])
-SEEN_DDL = "block int, keys binary, counts binary, hashes binary, sizes binary, digests binary, ids array<bigint>"
-DOCS_DDL = "key long, doc_id long, n long, digest binary, alive boolean"
+#: What goes to and comes from blocks. block: of columns, or -1 for what a packed row says of itself.
+SEEN = pa.schema([("block", pa.int32()), ("flush", pa.int64()), ("owners", pa.binary()), ("values", pa.binary()), ("sizes", pa.binary()), ("digests", pa.binary()), ("texts", pa.binary()), ("ids", pa.list_(pa.int64()))])
+SEEN_DDL = "block int, flush long, owners binary, values binary, sizes binary, digests binary, texts binary, ids array<bigint>"
+SETS_DDL = "doc_id long, t long, n long, digest binary, alive boolean"
 
 
-def lead(n: int) -> int:
-    """How many common columns must stand in both prefixes, for sets of n."""
-    return n // 8 + 1
+def first_flush() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() << 32
 
 
 def candidates(docs: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id, n, digest, alive of every row of _key, doc_id and text.
+    """doc_id, t (a hash of the text), n, digest, alive of every row of doc_id and text.
 
     A prefix has a set's smallest hashes: as many as may be missing from a partner, and lead(n).
     Of two sets that link, the first lead() common columns stand in both prefixes, so a row is
@@ -106,128 +131,137 @@ def candidates(docs: DataFrame, percent: int) -> DataFrame:
     within a packed row is counted there and sent once, so a frequent shingle stays small.
     """
     blocks = blocks_of(docs.sparkSession)
-    parts = blocks
 
     def split(batches):
-        keys, ids, sizes, digests, prefixes, held = [], [], [], [], [], 0
+        flush, got, held = first_flush(), [], 0  # got: doc_id, t, n, digest, prefix
 
-        def flush():
-            nonlocal held
-            key = np.array(keys, dtype=np.int64)
-            lengths = np.array([len(p) for p in prefixes])
-            h, owner = np.concatenate(prefixes), np.repeat(np.arange(len(key), dtype=np.int32), lengths)
+        def out():
+            nonlocal flush, held
+            flush, held = flush + 1, 0
+            ids, texts, sizes, digests, prefixes = zip(*got, strict=True)
+            got.clear()
+            h, owner = np.concatenate(prefixes), np.repeat(np.arange(len(ids), dtype=np.int32), [len(p) for p in prefixes])
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
-            first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=bool)
-            at = np.flatnonzero(first)
-            times = np.diff(np.concatenate((at, [len(h)])))
-            many = np.repeat(times > 1, times)
-            counted = np.bincount(owner[many], minlength=len(key))
-            single = np.where(times > 1, -1, key[owner[at]]) if len(at) else np.empty(0, dtype=np.int64)
-            rows = [(b, single[s].tobytes(), b"", h[at][s].tobytes(), b"", b"", None) for b, s in by_block(h[at], blocks)]
-            part = (key ^ key >> 33) % parts
-            for p in np.unique(part).tolist():
-                of = np.flatnonzero(part == p)
-                rows.append((-1 - p, key[of].tobytes(), counted[of].astype(np.int64).tobytes(), b"", np.array(sizes, dtype=np.int64)[of].tobytes(), b"".join(digests[i] for i in of), [ids[i] for i in of]))
-            for x in (keys, ids, sizes, digests, prefixes):
-                x.clear()
-            held = 0
+            at = starts(h)
+            times = np.diff(np.append(at, len(h)))
+            counted = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(ids)).astype(np.int32)
+            single = np.where(times > 1, np.int32(-1), owner[at])
+            h = h[at]
+            rows = [(b, flush, single[s].tobytes(), h[s].tobytes(), b"", b"", b"", None) for b, s in by_block(h, blocks)]
+            rows.append((-1, flush, b"", counted.tobytes(), np.array(sizes, dtype=np.int64).tobytes(), b"".join(digests), np.array(texts, dtype=np.int64).tobytes(), list(ids)))
             return batch(SEEN, *zip(*rows, strict=True))
 
         for b in slices(batches):
-            for key, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingles(text)
                 n = len(h)
                 take = n - least_overlap(n, percent) + lead(n) if n else 0
-                keys.append(key)
-                ids.append(doc_id)
-                sizes.append(n)
-                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                prefixes.append(h[:take])
+                got.append((doc_id, t, n, digest(h), h[:take].copy()))
                 held += take + 16
                 if held >= PACKED:
-                    yield flush()
-        if keys:
-            yield flush()
+                    yield out()
+        if got:
+            yield out()
 
     def count(key, pdf):
         if key[0] < 0:
-            return pdf.assign(block=-1 - pdf["block"])
-        owner = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["keys"]])
-        h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"]])
+            return pdf
+        owner, h = joined_arrays(pdf["owners"], np.int32), joined_arrays(pdf["values"], np.uint64)
+        of = np.repeat(np.arange(len(pdf), dtype=np.int32), [len(x) // 4 for x in pdf["owners"]])
         order = np.argsort(h, kind="stable")
-        h, owner = h[order], owner[order]
-        at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        times = np.diff(np.concatenate((at, [len(h)])))
-        flagged = np.logical_or.reduceat(owner < 0, at)
-        common = owner[np.repeat((times > 1) | flagged, times)]
-        who, n = np.unique(common[common >= 0], return_counts=True)
-        part = (who ^ who >> 33) % parts
-        rows = []
-        for p in np.unique(part).tolist():
-            of = np.flatnonzero(part == p)
-            rows.append((p, who[of].tobytes(), n[of].astype(np.int64).tobytes(), b"", b"", b"", None))
+        h, owner, of = h[order], owner[order], of[order]
+        at = starts(h)
+        times = np.diff(np.append(at, len(h)))
+        common = np.repeat((times > 1) | np.logical_or.reduceat(owner < 0, at), times) & (owner >= 0)
+        owner, of = owner[common], of[common]
+        flushes, rows = pdf["flush"].to_numpy(), []
+        order = np.argsort(of, kind="stable")
+        owner, of = owner[order], of[order]
+        at = np.append(starts(of), len(of))
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            rows.append((0, int(flushes[of[i]]), owner[i:j].tobytes(), b"", b"", b"", b"", None))
         return pd.DataFrame(rows, columns=SEEN.names)
 
     def decide(pdf):
-        own = pdf["sizes"].map(len) > 0
-        d = pdf[own]
-        key = np.frombuffer(b"".join(d["keys"]), dtype=np.int64)
-        n = np.frombuffer(b"".join(d["sizes"]), dtype=np.int64)
-        digests = b"".join(d["digests"])
-        order = np.argsort(key)
-        all_keys = np.frombuffer(b"".join(pdf["keys"]), dtype=np.int64)
-        all_counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.int64)
-        total = np.bincount(order[np.searchsorted(key[order], all_keys)], weights=all_counts, minlength=len(key))
-        smallest = -(-n * percent // 100)  # a partner's least size
+        own = pdf["block"].to_numpy() < 0
+        d = pdf[own].iloc[0]
+        n = np.frombuffer(d["sizes"], dtype=np.int64)
+        total = np.frombuffer(d["values"], dtype=np.int32) + np.bincount(joined_arrays(pdf["owners"], np.int32), minlength=len(n))
         return pd.DataFrame(
             {
-                "key": key,
-                "doc_id": pd.array([i for x in d["ids"] for i in x], dtype="Int64"),
+                "doc_id": pd.array(list(d["ids"]), dtype="Int64"),
+                "t": np.frombuffer(d["texts"], dtype=np.int64),
                 "n": n,
-                "digest": [digests[i : i + 16] for i in range(0, len(digests), 16)],
-                "alive": (n > 0) & (total >= smallest // 8 + 1),
+                "digest": [d["digests"][i : i + 16] for i in range(0, len(d["digests"]), 16)],
+                "alive": (n > 0) & (total >= lead(least_overlap(n, percent))),
             }
         )
 
-    packed = docs.select("_key", "doc_id", utf8().alias("t")).mapInArrow(split, SEEN_DDL)
-    return packed.groupBy("block").applyInPandas(count, SEEN_DDL).groupBy("block").applyInPandas(decide, DOCS_DDL)
+    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), utf8().alias("text")).mapInArrow(split, SEEN_DDL)
+    return packed.groupBy("block", F.when(F.col("block") < 0, F.col("flush")).alias("own")).applyInPandas(count, SEEN_DDL).groupBy("flush").applyInPandas(decide, SETS_DDL)
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, maybe) -> DataFrame:
+    """digest, n, set (hashes' bytes) of the texts whose digests are `wanted`.
+
+    `maybe` keeps the rows whose texts' hashes may be wanted; sets are made of those only, each
+    once in a task, and what is then shuffled are sets, one of each task's copies.
+    """
+
+    def run(batches):
+        seen = set()
+        for b in slices(batches):
+            rows = b.filter(pc.and_(pa.array(maybe(b.column(0).to_numpy())), pc.is_valid(b.column(1))))
+            out = []
+            for t, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if t in seen:
+                    continue
+                seen.add(t)
+                h = shingles(text)
+                out.append((digest(h), len(h), h.tobytes()))
+            if out:
+                yield batch(pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("set", pa.binary())]), *zip(*out, strict=True))
+
+    made = docs.select(F.xxhash64("text").alias("t"), utf8().alias("text")).mapInArrow(run, "digest binary, n long, set binary")
+    return made.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
 
 # --- counts of the rows that meet in each column -----------------------------------------------
 
-PACK = pa.schema([("flush", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("hashes", pa.binary())])
-PACK_DDL = "flush long, keys binary, sizes binary, lengths binary, hashes binary"
+NODE = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("common", pa.binary()), ("set", pa.binary()), ("rarest", pa.list_(pa.int64()))])
+NODE_DDL = "digest binary, n long, common binary, set binary, rarest array<bigint>"
+COLUMNS = pa.schema([("block", pa.int32()), ("flush", pa.int64()), ("owners", pa.binary()), ("values", pa.binary()), ("ranks", pa.binary()), ("digests", pa.binary())])
+COLUMNS_DDL = "block int, flush long, owners binary, values binary, ranks binary, digests binary"
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """Rows packed, about PACKED columns each: of (key, n, set), where set is an array of hashes'
-    bytes, or of (key, text), whose sets are made here."""
-    texts = "text" in rows.columns
+def shared_columns(sets: DataFrame, percent: int) -> DataFrame:
+    """digest, n, common (a hash of the shared columns), set (the shared columns) and rarest (its
+    signature) of the sets that have enough columns in common with others.
 
-    def run(batches):
-        from pyspark import TaskContext
+    A column goes to its block once for each set that has it, and only if several have it comes
+    back, with its rank: the logarithm of their number. Equal ranks are in order of the hash.
+    """
+    blocks = blocks_of(sets.sparkSession)
 
-        flush, held, got = TaskContext.get().partitionId() << 33, 0, []
+    def split(batches):
+        flush, got, held = first_flush(), [], 0
 
         def out():
             nonlocal flush, held
-            flush += 1
-            keys, sizes, sets = zip(*got, strict=True)
+            flush, held = flush + 1, 0
+            names, sizes, sets = zip(*got, strict=True)
             got.clear()
-            held = 0
-            return batch(PACK, [flush], [np.array(keys, dtype=np.int64).tobytes()], [np.array(sizes, dtype=np.int64).tobytes()], [np.array([len(s) // 8 for s in sets], dtype=np.int64).tobytes()], [b"".join(sets)])
-
-        def made(b):
-            if not texts:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-                return
-            for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h = shingles(text)
-                yield key, len(h), h.tobytes()
+            lengths = np.array([len(s) // 8 for s in sets], dtype=np.int64)
+            h, owner = joined_arrays(sets, np.uint64), np.repeat(np.arange(len(names), dtype=np.int32), lengths)
+            order = np.argsort(h, kind="stable")
+            h, owner = h[order], owner[order]
+            rows = [(b, flush, owner[s].tobytes(), h[s].tobytes(), b"", b"") for b, s in by_block(h, blocks)]
+            rows.append((-1, flush, b"", np.array(sizes, dtype=np.int64).tobytes(), b"", b"".join(names)))
+            return batch(COLUMNS, *zip(*rows, strict=True))
 
         for b in slices(batches):
-            for row in made(b):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 got.append(row)
                 held += len(row[2]) // 8
                 if held >= PACKED:
@@ -235,95 +269,49 @@ def pack(rows: DataFrame) -> DataFrame:
         if got:
             yield out()
 
-    return rows.select("key", *(("text",) if texts else ("n", "set"))).mapInArrow(run, PACK_DDL)
-
-
-COUNT = pa.schema([("block", pa.int32()), ("flush", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-
-
-def with_counts(packed: DataFrame, then, ddl: str) -> DataFrame:
-    """then(key, n, hashes, counts) -> rows, for each packed set; counts: in how many sets each
-    column stands. A column goes once from each packed row to its block, and its count back."""
-    blocks = blocks_of(packed.sparkSession)
-
-    def split(batches):
-        for b in batches:
-            for flush, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                h, n = np.unique(np.frombuffer(raw, dtype=np.uint64), return_counts=True)
-                rows = [(k, flush, h[s].tobytes(), n[s].astype(np.int64).tobytes()) for k, s in by_block(h, blocks)]
-                if rows:
-                    yield batch(COUNT, *zip(*rows, strict=True))
-
-    def count(pdf):
-        h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["hashes"]])
-        n = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["counts"]])
-        each, back = np.unique(h, return_inverse=True)
-        total = np.bincount(back, weights=n, minlength=len(each)).astype(np.int64)[back]
+    def count(key, pdf):
+        if key[0] < 0:
+            return pdf
+        owner, h = joined_arrays(pdf["owners"], np.int32), joined_arrays(pdf["values"], np.uint64)
+        _, back, times = np.unique(h, return_inverse=True, return_counts=True)
+        rank = np.ceil(4 * np.log2(times)).astype(np.uint8)[back]
         rows, at = [], 0
-        for flush, raw in zip(pdf["flush"], pdf["hashes"], strict=True):
-            end = at + len(raw) // 8
-            keep = np.flatnonzero(total[at:end] > 1) + at
-            rows.append((flush, h[keep].tobytes(), total[keep].tobytes()))
+        for flush, raw in zip(pdf["flush"].tolist(), pdf["owners"], strict=True):
+            end = at + len(raw) // 4
+            keep = np.flatnonzero(rank[at:end]) + at
+            if len(keep):
+                rows.append((0, flush, owner[keep].tobytes(), h[keep].tobytes(), rank[keep].tobytes(), b""))
             at = end
-        return pd.DataFrame(rows, columns=["flush", "hashes", "counts"])
-
-    def apply(mine, counted):
-        if not len(mine):
-            return pd.DataFrame(columns=[c.split()[0] for c in ddl.split(", ")])
-        shared = np.frombuffer(b"".join(counted["hashes"]), dtype=np.uint64)
-        counts = np.frombuffer(b"".join(counted["counts"]), dtype=np.int64)
-        order = np.argsort(shared)
-        shared, counts = np.append(shared[order], np.uint64(0)), np.append(counts[order], 0)
-        rows = []
-        for _, m in mine.iterrows():
-            h = np.frombuffer(m["hashes"], dtype=np.uint64)
-            k = np.minimum(np.searchsorted(shared[:-1], h), len(shared) - 1)
-            c = np.where((shared[k] == h) & (counts[k] > 0), counts[k], 1)
-            at = 0
-            for key, n, size in zip(*(np.frombuffer(m[x], dtype=np.int64).tolist() for x in ("keys", "sizes", "lengths")), strict=True):
-                rows += then(key, n, h[at : at + size], c[at : at + size])
-                at += size
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in ddl.split(", ")])
-
-    counted = packed.select("flush", "hashes").mapInArrow(split, "block int, flush long, hashes binary, counts binary").groupBy("block").applyInPandas(count, "flush long, hashes binary, counts binary")
-    return packed.groupBy("flush").cogroup(counted.groupBy("flush")).applyInPandas(apply, ddl)
-
-
-# --- components --------------------------------------------------------------------------------
-
-
-#: A graph of so many edges at most is solved in one task, in a few MB.
-SMALL_GRAPH = 500_000
-
+        return pd.DataFrame(rows, columns=COLUMNS.names)
+
+    def gather(pdf):
+        own = pdf["block"].to_numpy() < 0
+        d = pdf[own].iloc[0]
+        sizes, names, pdf = np.frombuffer(d["values"], dtype=np.int64), d["digests"], pdf[~own]
+        owner, h, rank = joined_arrays(pdf["owners"], np.int32), joined_arrays(pdf["values"], np.uint64), joined_arrays(pdf["ranks"], np.uint8)
+        order = np.lexsort((h, rank, owner))
+        owner, h = owner[order], h[order]
+        ends, at, rows = np.cumsum(np.bincount(owner, minlength=len(sizes))).tolist(), 0, []
+        for i, (n, end) in enumerate(zip(sizes.tolist(), ends, strict=True)):
+            spare = end - at - least_overlap(n, percent)
+            if spare >= 0:
+                s = np.sort(h[at:end])
+                rows.append((names[16 * i : 16 * i + 16], n, digest(s), s.tobytes(), h[at : at + spare + 1].view(np.int64).tolist()))
+            at = end
+        return pd.DataFrame(rows, columns=NODE.names)
 
-def joined(batches):
-    """(a, b) of a small graph by union-find: for every node but the smallest of its component, that one."""
-    above: dict[int, int] = {}
+    packed = sets.select("digest", "n", "set").mapInArrow(split, COLUMNS_DDL)
+    return packed.groupBy("block", F.when(F.col("block") < 0, F.col("flush")).alias("own")).applyInPandas(count, COLUMNS_DDL).groupBy("flush").applyInPandas(gather, NODE_DDL)
 
-    def top(x: int) -> int:
-        while (y := above.get(x, x)) != x:
-            above[x] = x = above.get(y, y)
-        return x
 
-    for t in batches:
-        for a, b in zip(*(c.to_pylist() for c in t.columns), strict=True):
-            x, y = top(a), top(b)
-            above.setdefault(a, a)
-            above.setdefault(b, b)
-            above[max(x, y)] = min(x, y)
-    rows = [(x, top(x)) for x in above if top(x) != x]
-    if rows:
-        yield batch(pa.schema([("a", pa.int64()), ("b", pa.int64())]), *zip(*rows, strict=True))
+# --- components --------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most: int, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b): for every node a but the smallest of a component, its smallest node b.
 
-    `most` bounds the number of edges. A small graph is solved in one task; in a large one
-    large-star and small-star steps, which are joins and minima, alternate until nothing changes.
+    Large-star and small-star steps, which are joins and minima, alternate until nothing changes.
     """
-    if most <= SMALL_GRAPH:
-        return edges.select("a", "b").coalesce(1).mapInArrow(joined, "a long, b long")
 
     def stamp(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
@@ -347,188 +335,225 @@ def components(edges: DataFrame, most: int, scratch: Scratch, name: str) -> Data
     return e
 
 
-OVERLAP = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())])
+# --- products ----------------------------------------------------------------------------------
 
 
-def multiply(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, overlap, distance and whether they link, for every pair (a, b) of nodes (key, n, set).
+def overlaps(rows: np.ndarray, h: np.ndarray, owner: np.ndarray, m: int):
+    """(slice of `rows`, overlap of each with each of the m sets), block of rows by block.
 
-    A batch's rows with one pivot b are a block of the incidence matrix: its product with b's
-    column adds up, for each row, the entries that stand in b.
+    h: column of each entry, sorted; owner: its set. Columns that an eighth of the sets share or
+    more are a dense block, and its product is one of matrices; of the others, each entry of
+    `rows` adds one to every set of its column.
+    """
+    at = starts(h)
+    times = np.diff(np.append(at, len(h)))
+    column = np.repeat(np.arange(len(at)), times)
+    dense = times * 8 >= m
+    place = np.cumsum(dense) - 1
+    thick = dense[column]
+    block = np.zeros((m, int(dense.sum())), dtype=np.float32)
+    block[owner[thick], place[column[thick]]] = 1
+    # the other entries by set
+    thin = np.flatnonzero(~thick)
+    thin = thin[np.argsort(owner[thin], kind="stable")]
+    of, col = owner[thin], column[thin]
+    first = np.searchsorted(of, np.arange(m + 1))
+    work = np.concatenate(([0], np.cumsum(times[col])))
+    step = max(1, min(256, (1 << 22) // max(1, m)))
+    begin = 0
+    while begin < len(rows):
+        end = min(len(rows), begin + step)
+        mine = rows[begin:end]
+        got = np.rint(block[mine] @ block.T).astype(np.int64)
+        for k, r in enumerate(mine.tolist()):
+            i, j = int(first[r]), int(first[r + 1])
+            if i < j:
+                c = col[i:j]
+                total = int(work[j] - work[i])
+                ends = np.cumsum(times[c])
+                take = np.arange(total) + np.repeat(at[c] - (ends - times[c]), times[c])
+                got[k] += np.bincount(owner[take], minlength=m)
+        yield slice(begin, end), got
+        begin = end
+
+
+def product(n: np.ndarray, sets: list[bytes], label: np.ndarray, percent: int, centre: int | None = None) -> np.ndarray:
+    """Labels after joining all sets of different labels whose Jaccard similarity is `percent` or
+    more; label: of each set, small integers. A joined label is the smallest of those joined."""
+    m, label = len(n), label.copy()
+    s = np.array([len(x) // 8 for x in sets], dtype=np.int64)
+    h, owner = joined_arrays(sets, np.uint64), np.repeat(np.arange(m, dtype=np.int32), s)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    times = np.diff(np.append(starts(h), len(h)))
+    several = np.repeat(times > 1, times)  # a column of one set alone adds to no overlap
+    h, owner = h[several], owner[several]
+
+    def join(row: int, linked: np.ndarray):
+        labels = np.unique(label[linked])
+        if len(labels) > 1 or (len(labels) and labels[0] != label[row]):
+            labels = np.union1d(labels, label[row : row + 1])
+            label[np.isin(label, labels)] = labels[0]
+
+    def multiply(rows):
+        for part, got in overlaps(rows, h, owner, m):
+            for row, o in zip(rows[part].tolist(), got, strict=True):
+                linked = 100 * o >= percent * (n[row] + n - o)
+                linked[row] = False
+                join(row, np.flatnonzero(linked))
+
+    if centre is not None:
+        multiply(np.array([centre]))
+    each, back, size = np.unique(label, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(back != np.argmax(size))
+    if len(rest):
+        # of the rest, those that the sizes leave a partner of another label
+        room = [r for r in rest.tolist() if np.any((100 * np.minimum(s[r], s) >= percent * (n[r] + n - np.minimum(s[r], s))) & (label != label[r]))]
+        multiply(np.array(room, dtype=np.int64))
+    return label
+
+
+EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links, as few as join what belongs together, among the rows of each tile.
+
+    rows: centre, i, j (which name the tile), key, label, n, set. Labels are joined; where a tile
+    has its centre among its rows and i = j, that one is multiplied first.
     """
 
+    def solve(centre, key, label, n, sets):
+        names, small = np.unique(np.array(label, dtype=np.int64), return_inverse=True)
+        got = product(np.array(n, dtype=np.int64), sets, small, percent, key.index(centre) if centre in key else None)
+        first = {}  # the smallest label of each component
+        for old, new in zip(small.tolist(), got.tolist(), strict=True):
+            first[new] = min(first.get(new, old), old)
+        return {(int(names[o]), int(names[first[g]])) for o, g in zip(small.tolist(), got.tolist(), strict=True) if first[g] != o}
+
     def run(batches):
-        for t in batches:
-            a, n_a, s_a, b, n_b, s_b = (c.to_pylist() for c in t.columns)
+        now, held = None, []
+        for b in batches:
             out = []
-            order = sorted(range(len(a)), key=b.__getitem__)
-            start = 0
-            while start < len(order):
-                end = start
-                while end < len(order) and b[order[end]] == b[order[start]]:
-                    end += 1
-                of = order[start:end]
-                pivot = np.frombuffer(s_b[of[0]], dtype=np.uint64)
-                rows = np.frombuffer(b"".join(s_a[i] for i in of), dtype=np.uint64)
-                ends = np.cumsum([len(s_a[i]) // 8 for i in of])
-                there = pivot[np.minimum(np.searchsorted(pivot, rows), len(pivot) - 1)] == rows
-                total = np.concatenate(([0], np.cumsum(there)))[np.concatenate(([0], ends))]
-                for i, o in zip(of, np.diff(total).tolist(), strict=True):
-                    union = n_a[i] + n_b[i] - o
-                    out.append((a[i], b[i], o, 1 - o / union, 100 * o >= percent * union))
-                start = end
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != now:
+                    if len(held) > 1:
+                        out += solve(now[0], *zip(*held, strict=True))
+                    now, held = row[:3], []
+                held.append(row[3:])
             if out:
-                yield batch(OVERLAP, *zip(*out, strict=True))
-
-    left = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("s_a"))
-    right = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("s_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "n_a", "s_a", "b", "n_b", "s_b")
-    return both.mapInArrow(run, "a long, b long, overlap long, d double, linked boolean")
-
+                yield batch(EDGE, *zip(*out, strict=True))
+        if len(held) > 1 and (out := solve(now[0], *zip(*held, strict=True))):
+            yield batch(EDGE, *zip(*out, strict=True))
 
-#: A group is multiplied with so many pivots in a round.
-PIVOTS = 24
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("centre", "i", "j", "key", "label", "n", "set").repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def link(nodes: DataFrame, groups: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, label) of all nodes, label the component's smallest key; and the nodes with a link.
+def link(nodes: DataFrame, scratch: Scratch, percent: int, tile_rows: int, tile_entries: int) -> DataFrame:
+    """(key, label) of the nodes (key, n, s, set, rarest) that link; label: the component's smallest key.
 
-    groups: (gid, key, central); whatever can link shares a group. At first every node is
-    multiplied with the most central of its groups' most central nodes, which is nearer to it than
-    most and joins most of what belongs together. Then,
-    in rounds, each group that still holds several components takes pivots from its smallest ones,
-    multiplies them with the nodes of other components, and lets them go. The first pivot is
-    multiplied with all nodes: those leave, too, whose distance from it differs by more than the
-    linking distance from that of every node of another component. Rounds go on until no group
-    holds two components.
+    A centre's nodes are dealt into blocks by hash. At first each block is multiplied with the
+    centre and with itself; then, where a centre has several blocks and they still hold several
+    components, each pair of blocks.
     """
-    reach = 1 - percent / 100 + 1e-9
-    first = groups.groupBy("gid").agg(F.max(F.struct("central", "key")).alias("f"))
-    pairs = groups.join(first, "gid").where("key <> f.key").groupBy(F.col("key").alias("a")).agg(F.max("f").alias("f")).select("a", F.col("f.key").alias("b"))
-    label = nodes.select("key", F.col("key").alias("label"))
-    bounds = nodes.select("key", "n", F.expr("length(set) div 8").alias("s"))
-    done = linked = None
-    step = 0
-    while True:
-        new = scratch.cut(multiply(pairs, nodes, percent), f"product{step}")
-        done = new if done is None else done.unionByName(new)
-        links = new.where("linked").select("a", "b")
-        linked = links if linked is None else linked.unionByName(links)
-        n = links.count()
-        contracted = links.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        if n:
-            root = components(contracted, n, scratch, f"root{step}")
-            label = scratch.cut(label.join(root.toDF("label", "root"), "label", "left").select("key", F.coalesce("root", "label").alias("label")), f"label{step}", light=True)
-        if step:
-            groups = remaining(member, done, label, reach)
-        step += 1
-
-        at = groups.join(label, "key")
-        each = at.groupBy("gid", "label").agg(F.count("*").alias("c"))
-        mixed = each.groupBy("gid").agg(F.count("*").alias("labels")).where("labels > 1").select("gid")
-        sized = at.join(mixed, "gid", "left_semi").join(each, ["gid", "label"])
-        turn = sized.withColumn("turn", F.row_number().over(Window.partitionBy("gid").orderBy("c", "label", F.desc("central"), "key"))).where(F.col("turn") <= PIVOTS)
-        pivots = turn.select("gid", F.col("key").alias("pivot"), F.col("label").alias("of"), "turn")
-        member = scratch.cut(sized.select("gid", "key", "label", "central").join(pivots, "gid"), f"member{step}", light=True)
-        # of the other pivots' pairs, those whose sizes and shared columns leave room for a link
-        star = member.where("key <> pivot and turn = 1").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-        cross = member.where("turn > 1 and label <> of").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-        cross = cross.join(bounds.toDF("a", "n_a", "s_a"), "a").join(bounds.toDF("b", "n_b", "s_b"), "b")
-        cross = cross.where(100 * F.least("s_a", "s_b") >= percent * (F.col("n_a") + F.col("n_b") - F.least("s_a", "s_b"))).select("a", "b")
-        pairs = star.unionByName(cross).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        if member.isEmpty():
-            return label, linked.select(F.col("a").alias("key")).unionByName(linked.select(F.col("b").alias("key"))).distinct()
-
-
-def remaining(member: DataFrame, done: DataFrame, label: DataFrame, reach: float) -> DataFrame:
-    """(gid, key, central) of the nodes that may still link across components of their group.
-
-    The group's pivots have met all nodes of other components. d is a node's distance from the
-    first pivot; two nodes whose distances differ by more than `reach` can't link.
+    entries = nodes.select("key", "s", F.explode("rarest").alias("column"))
+    centres = entries.groupBy("column").agg(F.max(F.struct("s", "key")).alias("c"), F.count("*").alias("m")).where("m > 1").select("column", F.col("c.key").alias("centre"))
+    member = entries.join(centres, "column").groupBy("centre", "key").agg(F.first("s").alias("s"))
+    member = scratch.cut(member, "member")
+    blocks = F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("s") / tile_entries)).cast("int")
+    sized = scratch.cut(member.groupBy("centre").agg(blocks.alias("blocks")), "sized")
+    member = member.join(sized, "centre").select("centre", "key", "blocks", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("i"))
+    # the centre stands in each block
+    also = sized.where("blocks > 1").select("centre", F.col("centre").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    first = member.select("centre", "key", "i").unionByName(also).distinct()
+    sets = nodes.select("key", "n", "set")
+    edges = scratch.cut(tiles(first.join(sets, "key").select("centre", "i", F.col("i").alias("j"), "key", F.col("key").alias("label"), "n", "set"), percent), "edges")
+    roots = components(edges, scratch, "root")
+
+    large = sized.where("blocks > 1")
+    if not large.isEmpty():
+        at = member.join(large.select("centre"), "centre", "left_semi").join(roots.toDF("key", "root"), "key", "left").select("centre", "key", "blocks", "i", F.coalesce("root", "key").alias("label"))
+        at = scratch.cut(at, "blocks")
+        mixed = at.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
+        other = at.join(mixed, "centre", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i <> other")
+        second = other.select("centre", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), "key", "label")
+        more = scratch.cut(tiles(second.join(sets, "key"), percent), "more")
+        edges = scratch.cut(edges.unionByName(more), "edges-all")
+        roots = components(edges, scratch, "root-all")
+    ends = roots.select(F.col("b").alias("key"), F.col("b").alias("label")).distinct()
+    return roots.toDF("key", "label").unionByName(ends)
+
+
+def classes(docs: DataFrame, scratch: Scratch, *, percent: int = 75, tile_rows: int = TILE_ROWS, tile_entries: int = TILE_ENTRIES) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, t, n, digest, alive of every row of `docs` (doc_id, text), and digest,
+    label of the sets of alive rows that link with other sets.
+
+    Rows with one label, and alive rows with one digest, are one component: reachable by links of
+    Jaccard similarity of `percent` or more between their sets of five-word shingles. Rows without
+    words (null and empty texts too) are alone; equal sets, such as repeated rows', link. t is a
+    hash of the text. `docs` must give the same rows whenever it is read; their places may differ.
     """
-    pivots = member.select("gid", F.col("pivot").alias("key")).distinct()
-    near = (
-        member.where("turn = 1")
-        .select("gid", "key", "central", "pivot")
-        .join(pivots, ["gid", "key"], "left_anti")
-        .join(done.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d"), ["key", "pivot"])
-        .join(label, "key")
-    )
-    hull = near.groupBy("gid", "label").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    low = hull.withColumn("r", F.row_number().over(Window.partitionBy("gid").orderBy("lo", "label"))).where("r <= 2")
-    high = hull.withColumn("r", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("hi"), "label"))).where("r <= 2")
-
-    def two(rows: DataFrame, value: str) -> DataFrame:
-        return rows.groupBy("gid").agg(*(F.max(F.when(F.col("r") == i, F.col(c))).alias(f"{c}_{value}{i}") for i in (1, 2) for c in ("label", value)))
-
-    ends = two(low, "lo").where("lo_lo2 is not null").join(two(high, "hi"), "gid")
-    others_lo = F.when(F.col("label") == F.col("label_lo1"), F.col("lo_lo2")).otherwise(F.col("lo_lo1"))
-    others_hi = F.when(F.col("label") == F.col("label_hi1"), F.col("hi_hi2")).otherwise(F.col("hi_hi1"))
-    return near.join(ends, "gid").where((F.col("d") >= others_lo - reach) & (F.col("d") <= others_hi + reach)).select("gid", "key", "central")
-
-
-def classes(docs: DataFrame, scratch: Scratch, *, percent: int = 75) -> DataFrame:
-    """_key, doc_id, n_shingles, label of every row of `docs` (_key, doc_id, text).
-
-    _key is a unique long. Rows must come in the same partitions and order whenever `docs` is
-    read, as those of files do, so that their places can serve as _key; write anything else first.
-    Rows with one label are one
-    component: reachable by links of Jaccard similarity of `percent` or more between their sets of
-    five-word shingles. Rows without words (null and empty texts too) are alone; equal sets, such
-    as repeated rows', link.
-    """
-    sets = scratch.cut(candidates(docs, percent), "sets")
-    reps = sets.where("alive").groupBy("digest").agg(F.min("key").alias("rep"))
-
-    texts = docs.select(F.col("_key").alias("key"), utf8().alias("text")).join(reps.select(F.col("rep").alias("key")), "key", "left_semi")
-    packed = scratch.cut(pack(texts), "packed")
-
-    def shared(key, n, h, c):
-        s = h[c > 1]
-        return [(key, n, xxhash.xxh3_128_digest(s.tobytes()), s.tobytes())] if len(s) >= least_overlap(n, percent) else []
-
-    rows = scratch.cut(with_counts(packed, shared, "key long, n long, digest binary, set binary"), "shared")
-    same = scratch.cut(rows.groupBy("digest", "n").agg(F.min("key").alias("node"), F.count("*").alias("copies")), "same")
-    nodes = scratch.cut(rows.join(same.select(F.col("node").alias("key"), "copies"), "key").select("key", "n", "set", "copies"), "nodes")
-
-    def rarest(key, n, h, c):
-        take = len(h) - least_overlap(n, percent) + 1 - int((c == 1).sum())
-        if take <= 0:
-            return []
-        at = np.flatnonzero(c > 1)
-        at = at[np.lexsort((h[at], c[at]))[:take]]
-        central = int(c.mean() * 16)  # a row in the middle of its kind shares much with many
-        return [(g, key, central) for g in h[at].view(np.int64).tolist()]
-
-    columns = scratch.cut(with_counts(scratch.cut(pack(nodes), "node-pack"), rarest, "gid long, key long, central long"), "columns")
-    # columns that hold the same rows are one group
-    held = columns.groupBy("gid").agg(F.count("*").alias("c"), *(F.sum(F.xxhash64("key", F.lit(i)).cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2))).where("c > 1")
-    groups = scratch.cut(columns.join(held.groupBy("c", "s1", "s2").agg(F.min("gid").alias("gid")).select("gid"), "gid", "left_semi"), "groups")
-    label, ends = link(nodes, groups, scratch, percent)
-
-    # copies of one node have the same partners; they link with each other directly, or through one
-    own = nodes.where(F.expr(f"copies > 1 and 100 * (length(set) div 8) >= {percent} * (2 * n - length(set) div 8)")).select("key")
-    linked = own.unionByName(ends).distinct()
-    node = label.join(linked, "key", "left_semi").select(F.col("key").alias("node"), "label")
-    of_rep = rows.select(F.col("key").alias("rep"), "digest", "n").join(same.select("digest", "n", "node"), ["digest", "n"]).join(node, "node").select("rep", "label")
-    named = reps.join(of_rep, "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    alive = sets.where("alive").join(named, "digest").select("key", "doc_id", "n", "label")
-    alone = sets.where("not alive").select("key", "doc_id", "n", F.col("key").alias("label"))
-    return scratch.cut(alive.unionByName(alone).select(F.col("key").alias("_key"), "doc_id", F.col("n").alias("n_shingles"), "label"), "classes")
+    rows = scratch.cut(candidates(docs, percent), "rows")
+    reps = scratch.cut(rows.where("alive").groupBy("digest").agg(F.min("t").alias("t")), "reps")
+    sets = scratch.cut(sets_of(docs, reps.select("digest"), bitmap(reps, "t")), "sets")
+    shared = scratch.cut(shared_columns(sets, percent), "shared")
+    scratch.drop("sets")
+    # rows of the same shared columns and size have the same partners
+    same = shared.groupBy("common", "n").agg(F.count("*").alias("copies"), F.first("set").alias("set"), F.first("rarest").alias("rarest"))
+    same = same.withColumn("s", (F.length("set") / 8).cast("int")).withColumn("key", F.monotonically_increasing_id())
+    nodes = scratch.cut(same, "nodes")
+    label = link(nodes, scratch, percent, tile_rows, tile_entries)
+    # copies of one node link with each other directly, or through a partner
+    alone = nodes.where(f"copies > 1 and 100 * s >= {percent} * (2 * n - s)").select("key", F.col("key").alias("label"))
+    label = scratch.cut(label.unionByName(alone).groupBy("key").agg(F.min("label").alias("label")), "label")
+    found = shared.select("digest", "common", "n").join(nodes.select("common", "n", "key"), ["common", "n"]).join(label, "key").select("digest", "label")
+    found = scratch.cut(found, "found")
+    scratch.drop("shared", "nodes", "member", "sized", "edges", "blocks", "more", "edges-all", "label")
+    return rows, found
 
 
 def component_ids(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id of the component, null if none has
     one) of every row."""
-    found = classes(docs.select("doc_id", "text").withColumn("_key", F.monotonically_increasing_id()), scratch, **how)
-    low = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return found.join(low, "label").select("doc_id", "n_shingles", "component_id")
+    rows, found = classes(docs, scratch, **how)
+    alive = rows.where("alive")
+    of_set = alive.groupBy("digest").agg(F.min("doc_id").alias("low")).join(found, "digest", "left")
+    of_set = scratch.cut(of_set, "low")
+    of_label = of_set.where("label is not null").groupBy("label").agg(F.min("low").alias("least"))
+    lowest = of_set.join(of_label, "label", "left").select("digest", F.coalesce("least", "low").alias("component_id"))
+    linked = alive.join(lowest, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(rows.where("not alive").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """`docs` with one row of each component: that of smallest doc_id, then place. Columns stay."""
-    key = free(docs, "_key")
-    rows = docs.withColumn(key, F.monotonically_increasing_id())
-    found = classes(rows.select(F.col(key).alias("_key"), "doc_id", "text"), scratch, **how)
-    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")).alias("f")).select(F.col("f._key").alias(key))
-    return rows.join(first, key, "left_semi").select(*docs.columns)
+    """`docs` with one row of each component: that of smallest doc_id (nulls last), then of smallest
+    hash of its text, then of smallest hash of its row. Columns stay.
+
+    Most rows are alone: a fixed-size bitmap of the hashes of the others' texts tells, without a
+    shuffle, which rows surely stay; only the others meet the list of rows that go.
+    """
+    rows, found = classes(docs, scratch, **how)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+    at = rows.where("alive").groupBy("digest", "doc_id", "t").agg(F.count("*").alias("times"))
+    at = scratch.cut(at.join(found, "digest", "left"), "members")
+    of_set = at.groupBy("digest", "label").agg(F.min(own).alias("first"))
+    of_label = of_set.where("label is not null").groupBy("label").agg(F.min("first").alias("of_label"))
+    first = of_set.join(of_label, "label", "left").select("digest", F.coalesce("of_label", "first").alias("first"))
+    verdict = at.join(first, "digest").select("doc_id", "t", "times", (own == F.col("first")).alias("stays"))
+    verdict = scratch.cut(verdict.where("not stays or times > 1"), "verdict")
+    repeated = not verdict.where("stays").isEmpty()
+
+    maybe, t, stays, row = bitmap(verdict, "t"), *(free(docs, c) for c in ("_t", "_stays", "_row"))
+    flag = F.pandas_udf(lambda x: pd.Series(maybe(x.to_numpy())), "boolean")
+    keyed = docs.withColumn(t, F.xxhash64("text"))
+    sure = keyed.where(~flag(t)).select(*docs.columns)
+    list_ = verdict.select(F.col("doc_id").alias("_v_id"), F.col("t").alias("_v_t"), F.col("stays").alias(stays))
+    met = keyed.where(flag(t)).join(list_, (F.col(t) == F.col("_v_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_v_id")), "left")
+    rest = met.where(F.col(stays).isNull()).select(*docs.columns)
+    if repeated:  # rows that agree in doc_id and text: the one of smallest hash of all columns
+        twice = met.where(F.col(stays)).select("_v_id", "_v_t", F.struct(*docs.columns).alias(row))
+        twice = twice.groupBy("_v_id", "_v_t").agg(F.min_by(row, F.xxhash64(row)).alias(row)).select(f"{row}.*")
+        rest = rest.unionByName(twice)
+    return sure.unionByName(rest)

@@ -58,25 +58,65 @@ def near_texts():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("blocks", ["1", "7"])
-def test_components_by_brute_force(spark, table, blocks):
+@pytest.mark.parametrize("blocks, how", [("1", {}), ("7", {}), ("3", {"tile_rows": 7}), ("3", {"tile_entries": 600})])
+def test_components_by_brute_force(spark, table, blocks, how):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", blocks)
     try:
         rows = near_texts()
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.component_ids(table(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.component_ids(table(rows, "doc_id long, text string"), Scratch(spark, "t"), **how).collect()}
         assert got == brute_components(rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_components_of_large_and_small_graphs(spark, monkeypatch):
+def test_components_do_not_depend_on_places(spark, table):
+    """Each read may deal rows into other partitions, as when executors come and go."""
+    rows = near_texts()
+    want, docs = brute_components(rows), table(rows, "doc_id long, text string", 5)
+
+    class Moving:
+        """A table that every read finds in other partitions."""
+
+        sparkSession, reads = spark, 0
+
+        def select(self, *columns):
+            self.reads += 1
+            return docs.repartition(self.reads + 1, F.crc32("text")).select(*columns)
+
+    moving = Moving()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.component_ids(moving, Scratch(spark, "t")).collect()}
+    assert got == want and moving.reads >= 2
+
+
+def test_product_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        m, universe = int(rng.integers(2, 40)), int(rng.integers(4, 60))
+        base = rng.random(universe) < 0.7
+        rows = [np.flatnonzero(base ^ (rng.random(universe) < rng.choice([0.02, 0.08, 0.3]))).astype(np.uint64) * 977 for _ in range(m)]
+        n = np.array([len(r) + int(rng.integers(0, 2)) for r in rows])
+        label = np.arange(m)
+        for a in range(m):
+            for b in range(a):
+                o = len(np.intersect1d(rows[a], rows[b]))
+                if n[a] and n[b] and 100 * o >= 75 * (n[a] + n[b] - o) and label[a] != label[b]:
+                    label[label == max(label[a], label[b])] = min(label[a], label[b])
+        if n.min() > 0:
+            for centre in (None, int(rng.integers(0, m))):
+                got = ngram_join.product(n, [r.tobytes() for r in rows], np.arange(m), 75, centre)
+                assert len(set(zip(got.tolist(), label.tolist(), strict=True))) == len(set(label.tolist())) == len(set(got.tolist()))
+
+
+def test_components_of_graphs(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
-    df = spark.createDataFrame(edges, "a long, b long")
-    small = {tuple(r) for r in ngram_join.components(df, len(edges), Scratch(spark, "t"), "s").collect()}
-    large = {tuple(r) for r in ngram_join.components(df, 10**9, Scratch(spark, "t"), "l").collect()}
-    assert small == large and (460, 400) in small
+    above = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            above[a] = above[b] = min(above[a], above[b])
+    got = {tuple(r) for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "l").collect()}
+    assert got == {(a, b) for a, b in above.items() if a != b} and (460, 400) in got
 
 
 def test_join_edges(spark, edges, empty):
@@ -84,6 +124,7 @@ def test_join_edges(spark, edges, empty):
     assert len(got) == 8 and {r.component_id for r in got if r.doc_id is None} == {None}
     kept = ngram_join.one_of_each(edges, Scratch(spark, "t"))
     assert kept.columns == edges.columns and kept.count() == 7 and {r["_key"] for r in kept.collect()} == {"own"}
+    assert ngram_join.one_of_each(empty, Scratch(spark, "t")).count() == 0
     assert ngram_join.component_ids(empty, Scratch(spark, "t")).count() == 0
 
 
