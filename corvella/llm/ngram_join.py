@@ -310,15 +310,17 @@ def shared_columns(sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b): for every node a but the smallest of a component, its smallest node b.
 
-    Large-star and small-star steps, which are joins and minima, alternate until nothing changes.
+    Large-star and small-star steps, which are joins and minima, alternate until only stars are left.
     """
 
-    def stamp(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def unfinished(e):
+        """Whether some node still has two others, or one that has one itself."""
+        several = e.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+        return not several.where("lo < hi").isEmpty() or not e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
     e = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before, i = stamp(e), 0
-    while before[0]:
+    i = 0
+    while unfinished(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -328,10 +330,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         i += 1
         e = scratch.cut(small, f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
-        now = stamp(e)
-        if now == before:
-            break
-        before = now
     return e
 
 
@@ -433,7 +431,7 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         now, held = None, []
-        for b in batches:
+        for b in slices(batches):
             out = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if row[:3] != now:
