@@ -8,6 +8,8 @@ the log-likelihood gained exceeds a penalty that grows with the logarithm of the
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -52,15 +54,17 @@ def fit(docs: DataFrame, *, per_lang: int = 1000, smooth: float = 0.05) -> tuple
     """Languages and their log-probabilities (trigram x language).
 
     For each value of lang at most `per_lang` distinct texts train: those of smallest hash. Only
-    hashes are ranked; the largest one taken of each language then selects the texts, so no task
-    gathers more text than a language's sample. Counts are made on the executors and one
-    fixed-size vector per language reaches the driver. Rows without text or lang don't train.
+    hashes are ranked; the largest one taken of each language, a row a language, is broadcast and
+    selects the texts before anything is shuffled: what moves is the sample alone. Counts are made
+    on the executors, in sixteen parts a language, and reach the driver compressed. The model holds
+    a vector for each language, so their number is taken to be small. Rows without text or lang
+    don't train.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("_h"))
     hashes = rows.select("lang", "_h").distinct()
     ranked = hashes.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= per_lang)
     last = ranked.groupBy("lang").agg(F.max("_h").alias("_last"))
-    picked = rows.join(last, "lang").where(F.col("_h") <= F.col("_last")).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    picked = rows.join(F.broadcast(last), "lang").where(F.col("_h") <= F.col("_last")).groupBy("lang", "_h").agg(F.min("text").alias("text"))
 
     def count(key, pdf):
         import pandas as pd
@@ -69,15 +73,17 @@ def fit(docs: DataFrame, *, per_lang: int = 1000, smooth: float = 0.05) -> tuple
         for t in pdf["text"]:
             if (g := trigrams(t)) is not None:
                 c += np.bincount(g[0], minlength=1 << BITS)
-        return pd.DataFrame({"lang": [key[0]], "counts": [c.tobytes()]})
+        return pd.DataFrame({"lang": [key[0]], "counts": [zlib.compress(c.tobytes(), 1)]})
 
-    got = sorted(picked.groupBy("lang").applyInPandas(count, "lang string, counts binary").collect(), key=lambda r: r["lang"])
-    counts = [(r["lang"], np.frombuffer(r["counts"], dtype=np.int64)) for r in got]
-    counts = [(k, c) for k, c in counts if c.sum() > 0]
+    counts: dict[str, np.ndarray] = {}
+    for r in picked.groupBy("lang", F.pmod("_h", F.lit(16)).alias("_part")).applyInPandas(count, "lang string, counts binary").toLocalIterator():
+        c = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
+        counts[r["lang"]] = counts[r["lang"]] + c if r["lang"] in counts else c
+    counts = {k: c for k, c in sorted(counts.items()) if c.sum() > 0}
     if not counts:
         return [], np.zeros((1 << BITS, 0), dtype=np.float32)
-    p = np.stack([np.log((c + smooth) / (c.sum() + smooth * (1 << BITS))) for _, c in counts], axis=1)
-    return [k for k, _ in counts], np.ascontiguousarray(p, dtype=np.float32)
+    p = np.stack([np.log((c + smooth) / (c.sum() + smooth * (1 << BITS))) for c in counts.values()], axis=1)
+    return list(counts), np.ascontiguousarray(p, dtype=np.float32)
 
 
 def mixture(like: np.ndarray, steps: int = 30, tolerance: float = 1e-3) -> np.ndarray:
