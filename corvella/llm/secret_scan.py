@@ -34,7 +34,8 @@ _assign = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _access = re.compile(rb"AKIA[A-Z0-9]+")
 _hex = re.compile(rb"[0-9a-f]+")
 _checked = re.compile(rb"(gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_jwt = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_jwt = re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]++")
+_run = re.compile(rb"[A-Za-z0-9_-]++")
 
 #: Lower-cases A-Z; and folds hex digits to one byte, all else to another.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -104,9 +105,11 @@ def spans(text: str | None) -> list[tuple[int, str, int]]:
             after[what] = m.end()
             if checksum_holds(m[2], m[3]):
                 out.append((at, what, m.end()))
-        elif what == "jwt" and (m := _jwt.match(raw, at)):
-            after[what] = m.end()
-            if jwt_holds(m[1]):
+        elif what == "jwt":
+            m = _jwt.match(raw, at)
+            # no token begins further on in a run that begins none: what follows the run is the same
+            after[what] = m.end() if m else _run.match(raw, at).end() if raw.startswith(b"eyJ", at) else at + 1
+            if m and jwt_holds(m[1]):
                 out.append((at, what, m.end()))
     folded, run, at = raw.translate(_FOLD), b"x" * HEX_LEAST, 0
     while (at := folded.find(run, at)) >= 0:
@@ -136,7 +139,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KI
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, a count for each kind, base_sha256 and spans of every row of doc_id and text; no shuffle.
 
-    Null and empty texts have no spans (the hash is that of nothing); null ids and repeated rows
+    A text of any length is searched whole, in time that grows with its length. Null and empty texts have no spans (the hash is that of nothing); null ids and repeated rows
     come back as they are.
     """
 
