@@ -9,14 +9,16 @@ final high-confidence patterns mark identifiers that no expression found.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, batch, free
+from ._shared import Scratch, batch, bitmap, free
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = tuple(f"ctx_{k}" for k in KINDS)
@@ -77,8 +79,10 @@ def single_bytes(text: str) -> bytes:
     return text.encode("latin-1", "replace")
 
 
-#: A pattern's words stand in so many characters beside the instance; a longer token is no identifier.
-REACH, LONGEST = 80, 254
+#: A longer token is no identifier (a mail address has no more characters); a longer word of a
+#: context stands in patterns as LONG_WORD, whatever it is.
+LONGEST, LONG_WORD = 254, "<long>"
+_token = re.compile(r"\S+")
 
 #: Where a token may be an identifier: four digits in a row, or what addresses have.
 _hint = re.compile(rb"[0-9]{4}|@|[\[({<]at[\])}>]|[A-Za-z0-9_-]\.[A-Za-z]{2}|[0-9A-Fa-f][.:][0-9A-Fa-f]|::", re.I)
@@ -133,15 +137,25 @@ def identifiers(raw: bytes, base) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """What stands around a span: two words before; a word on each side; a cue ending in : = or #."""
-    before = text[max(0, start - REACH) : start].lower().split()
-    behind = text[end : end + REACH].lower().split()
+def patterns(text: str, start: int, end: int, tokens: list[tuple[int, int]], begins: list[int]) -> list[str]:
+    """What stands around a span: two words before; a word on each side; a cue ending in : = or #.
+
+    tokens: the text's runs without white space, and where each begins. A token that the span
+    stands in counts as far as it lies outside.
+    """
+
+    def word(s: int, e: int) -> str:
+        return text[s:e].lower() if e - s <= LONGEST else LONG_WORD
+
+    k = bisect.bisect_left(begins, start)
+    before = [word(s, min(e, start)) for s, e in tokens[max(0, k - 2) : k]]
+    k = max(0, bisect.bisect_right(begins, end) - 1)
+    behind = next((word(max(s, end), e) for s, e in tokens[k : k + 2] if e > end), None)
     out = []
     if len(before) >= 2:
         out.append(f"{before[-2]} {before[-1]} _")
     if before and behind:
-        out.append(f"{before[-1]} _ {behind[0]}")
+        out.append(f"{before[-1]} _ {behind}")
     if before and before[-1][-1] in ":=#":
         out.append(f"{before[-1]} _")
     return out
@@ -154,7 +168,11 @@ def occurrences(text: str | None) -> tuple[list[tuple[str, int, int]], list[tupl
     raw = single_bytes(text)
     base = base_spans(raw)
     rest = identifiers(raw, base)
-    return base, [(k, s, e, text[s:e], patterns(text, s, e), [k] if k else may_be(raw[s:e])) for k, s, e in [*base, *((None, s, e) for s, e in rest)]]
+    if not base and not rest:
+        return [], []
+    tokens = [m.span() for m in _token.finditer(text)]
+    begins = [s for s, _ in tokens]
+    return base, [(k, s, e, text[s:e], patterns(text, s, e, tokens, begins), [k] if k else may_be(raw[s:e])) for k, s, e in [*base, *((None, s, e) for s, e in rest)]]
 
 
 SCAN = pa.schema(
@@ -190,13 +208,15 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCAN_DDL)
 
 
-def discover(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, least_seeds: int = 3, confident: float = 0.8) -> DataFrame:
+def discover(scanned: DataFrame, scratch: Scratch, *, least_seeds: int = 3, confident: float = 0.8) -> DataFrame:
     """digest, found (learned spans as kind:start:end in order): one row for each text that has any.
 
     A pattern's score for a kind is the share of that kind's known instances among all distinct
     instances that it introduces, if they are `least_seeds` at least; a round makes an instance
-    known whose best pattern reaches `confident`, if it may be of that kind by its shape. Counts are over distinct instances of the whole
-    corpus, so copies of a text add no weight. Edges are pre-aggregated before each shuffle.
+    known whose best pattern reaches `confident`, if it may be of that kind by its shape. What is
+    known stays so, and rounds go on until one makes nothing known. Counts are over distinct
+    instances of the whole corpus, so copies of a text add no weight. Edges are pre-aggregated
+    before each shuffle.
     """
     seen = scanned.where(F.size("seen") > 0).select("digest", F.explode("seen").alias("o")).select("digest", "o.*")
     edges = scratch.cut(
@@ -204,8 +224,9 @@ def discover(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, least_see
         "edges",
     )
     fits = F.array_contains("may", F.col("learned"))
-    known = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known"))
-    for i in range(rounds):
+    known = scratch.cut(edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known")), "known0")
+    step = 0
+    while True:
         scored = (
             edges.join(known, "instance", "left")
             .groupBy("pattern")
@@ -214,11 +235,14 @@ def discover(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, least_see
             .where((F.col("best") >= least_seeds) & (F.col("best") >= confident * F.col("n")))
             .select("pattern", F.coalesce(*(F.when(F.col(k) == F.col("best"), F.lit(k)) for k in KINDS)).alias("learned"), (F.col("best") / F.col("n")).alias("confidence"))
         )
-        scored = scratch.cut(scored, f"patterns{i}")
-        if i + 1 < rounds:
-            new = edges.where("kind is null").join(scored, "pattern").where(fits).groupBy("instance").agg(F.max_by("learned", F.struct("confidence", "learned")).alias("known"))
-            base = edges.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known"))
-            known = base.unionByName(new.join(base, "instance", "left_anti"))
+        scored = scratch.cut(scored, f"patterns{step}")
+        new = edges.where("kind is null").join(scored, "pattern").where(fits).groupBy("instance").agg(F.max_by("learned", F.struct("confidence", "learned")).alias("known"))
+        new = scratch.cut(new.join(known, "instance", "left_anti"), f"new{step}")
+        if new.isEmpty():
+            break
+        step += 1
+        known = scratch.cut(known.unionByName(new), f"known{step}")
+        scratch.drop(f"known{step - 1}", f"new{step - 1}", f"patterns{step - 1}")
     marks = (
         seen.where("kind is null")
         .select("digest", "start", "end", "may", F.explode("patterns").alias("pattern"))
@@ -231,14 +255,24 @@ def discover(scanned: DataFrame, scratch: Scratch, *, rounds: int = 3, least_see
     return marks.groupBy("digest").agg(F.concat_ws(",", F.transform(ordered, lambda x: F.concat(F.lit("ctx_"), x["learned"], F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))).alias("found"))
 
 
+#: Rows of one text meet its learned spans in so many tasks, so that no task gets all copies.
+SALTS = 32
+
+
 def find(docs: DataFrame, scratch: Scratch, **learning) -> DataFrame:
     """doc_id, base (spans by expression) and found (learned spans) of every row of doc_id and text.
 
-    Null and empty texts have no spans; null ids and repeated rows come back as they are.
+    A learned span is a token of LONGEST characters at most, or a run of digit groups. Null and
+    empty texts have no spans; null ids and repeated rows come back as they are. Rows without an
+    identifier-like token take no part in a shuffle, and those of one text are dealt out.
     """
     scanned = scratch.cut(scan(docs), "scan")
     learned = discover(scanned, scratch, **learning)
-    return scanned.select("doc_id", "digest", "base").join(learned, "digest", "left").select("doc_id", "base", F.coalesce("found", F.lit("")).alias("found"))
+    open_ = F.exists("seen", lambda o: o["kind"].isNull())
+    salted = learned.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    met = scanned.where(open_).select("doc_id", "digest", "base", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    met = met.join(salted, ["digest", "salt"], "left").select("doc_id", "base", F.coalesce("found", F.lit("")).alias("found"))
+    return met.unionByName(scanned.where(~open_).select("doc_id", "base", F.lit("").alias("found")))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -258,18 +292,22 @@ def parsed(spans: str | None) -> list[tuple[str, int, int]]:
 def redact(docs: DataFrame, scratch: Scratch, **learning) -> DataFrame:
     """`docs` with every span of personal data in text replaced by its kind; other columns stay.
 
-    Learned spans join by the text's digest, so copies get them all; base spans are found where
-    the text is rewritten. Null and empty texts stay.
+    Learned spans join by the text's hash, so copies get them all, dealt out over SALTS tasks; base
+    spans are found where the text is rewritten. A fixed-size bitmap of the texts that have learned
+    spans keeps all others out of the shuffle. Null and empty texts stay.
     """
-    learned = discover(scratch.cut(scan(docs), "scan"), scratch, **learning)
+    learned = scratch.cut(discover(scratch.cut(scan(docs), "scan"), scratch, **learning).withColumn("t", F.xxhash64("digest")), "learned")
+    scratch.drop("scan")
 
     @F.pandas_udf("string")
     def rewrite(texts, found):
-        import pandas as pd
-
         return pd.Series([masked(t, [*base_spans(single_bytes(t)), *parsed(f)]) if t else t for t, f in zip(texts, found, strict=True)], dtype=object)
 
-    key, marks = free(docs, "_digest"), free(docs, "_found")
+    key, salt, marks = free(docs, "_digest"), free(docs, "_salt"), free(docs, "_found")
+    maybe = bitmap(learned, "t")
+    flag = F.pandas_udf(lambda x: pd.Series(maybe(x.to_numpy())), "boolean")
     keyed = docs.withColumn(key, F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.lit(b"")))
-    joined = keyed.join(learned.select(F.col("digest").alias(key), F.col("found").alias(marks)), key, "left")
-    return joined.withColumn("text", rewrite("text", marks)).select(*docs.columns)
+    salted = learned.select(F.col("digest").alias(key), F.col("found").alias(marks), F.explode(F.array(*map(F.lit, range(SALTS)))).alias(salt))
+    met = keyed.where(flag(F.xxhash64(key))).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [key, salt], "left")
+    rest = keyed.where(~flag(F.xxhash64(key))).withColumn(marks, F.lit(""))
+    return met.withColumn("text", rewrite("text", marks)).select(*docs.columns).unionByName(rest.withColumn("text", rewrite("text", marks)).select(*docs.columns))
