@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -63,6 +64,21 @@ def test_checksums_and_tokens():
     assert secret_scan.masked(f"a {good} b", secret_scan.spans(f"a {good} b")) == "a [SECRET] b"
 
 
+def test_tokens_by_brute_force():
+    """Of JWT-like runs those that a plain search finds; in time that grows with the length."""
+    head = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    rng, parts = random.Random(4), ["eyJ", ".", head, " ", "a", "-", "EYJ"]
+    plain = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+    for _ in range(20000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        want = [(m.start(), "jwt", m.end()) for m in plain.finditer(t) if secret_scan.jwt_holds(m[1].encode())]
+        assert [s for s in secret_scan.spans(t) if s[1] == "jwt"] == want, t
+    began = time.perf_counter()
+    for long in ("eyJ" * 400_000, "eyJa." * 200_000, "token " * 150_000, "token" + " " * 1_000_000, "AKIA" * 300_000, "ghp_" * 300_000):
+        secret_scan.spans(long)
+    assert time.perf_counter() - began < 12
+
+
 def test_contexts_discover_identifiers(spark, table):
     rows = [(i, f"please call our desk hotline number +1 (212) 555-{1000 + i} for help today") for i in range(30)]
     rows += [(100, "please call our desk hotline number 2125557788 for help today"), (101, "an order of 2125557788 pieces"), (102, "a clean text with 1999 in it")]
@@ -98,6 +114,61 @@ def test_contexts_discover_any_shape(spark, table):
     assert all(found[i].found == "" and redacted[i] == rows[i][1] for i in range(plain, len(rows)))
 
 
+def discovered(texts, least_seeds=3, confident=0.8):
+    """The learned spans of each text by plain dictionaries."""
+    seen = [pii.occurrences(t)[1] for t in texts]
+    edge = {}
+    for kind, _, _, instance, patterns, may in (o for f in seen for o in f):
+        for p in patterns:
+            k, m = edge.get((p, instance), (None, None))
+            edge[p, instance] = (min(x for x in (k, kind) if x) if k or kind else None, min(x for x in (m, may) if x))
+    known = {}
+    for (_, i), (k, _) in edge.items():
+        if k:
+            known[i] = min(k, known.get(i, k))
+    while True:
+        met = {}
+        for p, i in edge:
+            met.setdefault(p, []).append(known.get(i))
+        scored = {}
+        for p, ks in met.items():
+            best = max(map(ks.count, pii.KINDS))
+            if best >= least_seeds and best >= confident * len(ks):
+                scored[p] = (best / len(ks), next(k for k in pii.KINDS if ks.count(k) == best))
+        new = {}
+        for (p, i), (k, may) in edge.items():
+            if k is None and p in scored and scored[p][1] in may and i not in known:
+                new[i] = max(new.get(i, scored[p]), scored[p])
+        if not new:
+            break
+        known |= {i: k for i, (_, k) in new.items()}
+    out = []
+    for f in seen:
+        marks = {}
+        for kind, s, e, _, patterns, may in f:
+            for p in patterns:
+                if kind is None and p in scored and scored[p][1] in may:
+                    marks[s, e] = max(marks.get((s, e), scored[p]), scored[p])
+        out.append(",".join(f"ctx_{k}:{s}:{e}" for k, s, e in sorted(((k, s, e) for (s, e), (_, k) in marks.items()), key=lambda x: (pii.KINDS.index(x[0]), *x[1:]))))
+    return out
+
+
+def test_discovery_by_brute_force(spark, table):
+    """Pattern and instance scores over rounds: chains of contexts, each learned from the one before."""
+    rng = random.Random(6)
+    pool, texts = [f"+1 (212) 555-{1000 + k}" for k in range(8)], []
+    for n in range(7):
+        pool += [f"212 55 {10 + n} {70 + j}" for j in range(2)]
+        texts += [f"step{n} call {x} end{n} {rng.choice(['x', 'y'])}" for x in pool[-10:]]
+    texts += [f"{rng.choice(['mail', 'host'])} {rng.choice(['to', 'of='])} {rng.choice(['u%d@mail.org'] * 12 + ['u%d[at]mail'] + ['10.1.%d.7'] * 2)} {rng.choice(['now', 'then', ''])}" % rng.randrange(40) for _ in range(400)]
+    texts += ["a" * 400 + " " + "b" * 300 + f" u{i}@mail.org " + "c" * 500 for i in range(4)] + ["a" * 400 + " " + "d" * 300 + " u[at]mail.org " + "e" * 500, None, "", texts[0]]
+    want = discovered(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.found for r in pii.find(table(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(map(bool, want)) > 20 and sum(map(bool, want[60:70])) == 10
+    assert "ctx_email" in want[-4]  # long words of a context are all one
+
+
 def test_identifiers_of_any_text():
     """In order, apart from each other and from base spans, each of some kind; a run beside a base span stays whole."""
     for t in random_texts(20000):
@@ -138,7 +209,33 @@ def test_languages_are_told_apart(table):
     assert set(mixed) == {0, 1} and abs(mixed[0] - 0.6) < 0.1
 
 
-def test_quality_is_learned(spark, table):
+def test_shares_by_brute_force():
+    """Expectation-maximisation comes to the shares of largest likelihood on a fine grid."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        like = np.exp(rng.normal(size=(60, 2)) * 2)
+        share = langid.mixture(like / like.max(axis=1, keepdims=True), steps=500, tolerance=1e-9)
+        grid = np.linspace(0, 1, 2001)
+        best = grid[np.argmax(np.log(np.maximum(like @ np.stack([grid, 1 - grid]), 1e-300)).sum(axis=0))]
+        assert abs(share[0] - best) < 2e-3
+
+
+def test_sample_of_languages(table):
+    """The model counts the trigrams of the texts of smallest hash of each language, each once."""
+    texts = {k: [f"{k}{i} {k * 3} word{i}" for i in range(30)] for k in ("aa", "bb")}
+    rows = [(i, t, k) for k in texts for i, t in enumerate(texts[k] * 3)] + [(1, None, "aa"), (2, "x", None)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    langs, logp = langid.fit(docs, per_lang=7, smooth=0.5)
+    assert langs == ["aa", "bb"]
+    for j, k in enumerate(langs):
+        c = np.zeros(1 << langid.BITS)
+        for t in sorted(texts[k], key=hashes.get)[:7]:
+            c += np.bincount(langid.trigrams(t)[0], minlength=1 << langid.BITS)
+        assert np.allclose(logp[:, j], np.log((c + 0.5) / (c.sum() + 0.5 * (1 << langid.BITS))), atol=1e-5)
+
+
+def test_quality_is_learned(spark, table, edges, empty):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["river", "stone", "cloud", "meadow", "quiet"]) for _ in range(60))
     bad = lambda: " ".join(rng.choice(["$$$", "###x", "buy!!", "%%%"]) + rng.choice("qwz") for _ in range(60))
@@ -150,6 +247,39 @@ def test_quality_is_learned(spark, table):
     assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in range(200, 300)]) > 0.97
     assert quality.fit(docs, labels.limit(0)) is None
     assert quality.score(docs, model).columns == ["doc_id", "text", "quality_score"]
+    for more, n in ((edges, 8), (empty, 0)):
+        out = quality.scores(more, model, F.lit(False)).collect()
+        assert len(out) == n and all(0 <= r.score <= 1 for r in out) and all(r.score == model.prior for r in out if r.doc_id in (3, 4))
+        assert quality.score(more, model).columns == [*more.columns, "quality_score"]
+        assert quality.fit(more, labels.where("quality = 1")) is None
+
+
+def test_sizes_by_brute_force(spark, table):
+    """Scores are those of the pieces compressed one by one with plain zstandard."""
+    import zstandard
+
+    rows = [(i, f"quiet river {i} " * (40 * i)) for i in range(1, 9)] + [(i, f"$$$ buy!! {i} ### " * (40 * i)) for i in range(9, 17)]
+    docs, labels = table(rows, "doc_id long, text string"), table([(i, int(i < 9)) for i in range(1, 17)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.scores(docs, model, F.lit(False)).collect()}
+    for i, t in rows:
+        raw, size = t.encode(), []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False)
+            size.append(sum(len(c.compress(raw[k : k + model.piece])) for k in range(0, len(raw), model.piece)))
+        x = quality.features(np.array(size[:1]), np.array(size[1:]), np.array([len(raw)]))
+        assert abs(got[i] - 1 / (1 + np.exp(-(x @ np.array(model.weights))[0]))) < 1e-9
+
+
+def test_calibration_comes_to_rest():
+    """On separable classes, with features of any scale, no gradient is left."""
+    rng = np.random.default_rng(1)
+    for scale in (1e-3, 1, 1e3):
+        x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 4)) * [scale, 1, 1, 1e-4]], axis=1)
+        y = (x[:, 1] > 0).astype(float)
+        w = quality.logistic(x, y)
+        p = 1 / (1 + np.exp(-x @ w))
+        assert np.isfinite(w).all() and ((p > 0.5) == y).mean() > 0.97 and abs(p.mean() - y.mean()) < 1e-3
 
 
 def test_copies_of_an_id_crowd_no_one_out(table):
