@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,28 +82,29 @@ def slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
-#: A bitmap has so many bits at most (8 MB); of very many values it tells less, and stays right.
+#: A bitmap has so many bits at most: a million words; of very many values it tells less, and stays right.
 MOST_BITS = 1 << 26
 
 
-def bitmap(rows: DataFrame, column: str):
-    """maybe(values): whether each of an array of longs may stand in `column`; false is certain.
+class Bitmap:
+    """Which longs may stand in a column: a table of 64-bit words, of bounded size whatever the column holds.
 
-    The bits are set on the executors; at most 8 MB of them reach the driver and go out again.
+    It is made on the executors and goes out as a broadcast of at most MOST_BITS / 64 rows. Of a
+    value that is not in it, it is certain that the column does not hold it.
     """
-    spark = rows.sparkSession
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
-    at = rows.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(bits - 1).alias("b"))
-    words = at.groupBy(F.shiftright("b", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m")).toArrow()
-    mask = np.zeros(bits >> 6, dtype=np.int64)
-    mask[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    sent = spark.sparkContext.broadcast(mask)
-
-    def maybe(values):
-        b = values.astype(np.int64) & (bits - 1)
-        return (sent.value[b >> 6] >> (b & 63)) & 1 == 1
-
-    return maybe
+
+    def __init__(self, rows: DataFrame, column: str, scratch: Scratch, name: str):
+        self.bits = min(MOST_BITS, max(1 << 16, 1 << (16 * rows.count()).bit_length()))
+        at = rows.where(F.col(column).isNotNull()).select(F.col(column).bitwiseAND(self.bits - 1).alias("b"))
+        one = F.expr("shiftleft(1L, cast(b & 63 as int))")
+        self.words = scratch.cut(at.groupBy(F.shiftright("b", 6).cast("int").alias("_word")).agg(F.bit_or(one).alias("_mask")), name)
+
+    def split(self, rows: DataFrame, value, *, maybe: bool) -> DataFrame:
+        """The rows whose value may stand in the column, or those whose value surely does not."""
+        b = value.bitwiseAND(self.bits - 1)
+        words = F.broadcast(self.words)
+        there = (F.shiftright(b, 6).cast("int") == words["_word"]) & (F.getbit(words["_mask"], b.bitwiseAND(63).cast("int")) == 1)
+        return rows.join(words, there, "left_semi" if maybe else "left_anti")
 
 
 def crc_mod(column: str, n: int):

@@ -24,12 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, batch, bitmap, free, slices, utf8
+from ._shared import Bitmap, Scratch, batch, free, slices, utf8
 
 #: Lower-cases A-Z; white space is what bytes.split() takes for it: 09-0D and 20.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -202,19 +201,18 @@ def candidates(docs: DataFrame, percent: int) -> DataFrame:
     return packed.groupBy("block", F.when(F.col("block") < 0, F.col("flush")).alias("own")).applyInPandas(count, SEEN_DDL).groupBy("flush").applyInPandas(decide, SETS_DDL)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, maybe) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, known: Bitmap) -> DataFrame:
     """digest, n, set (hashes' bytes) of the texts whose digests are `wanted`.
 
-    `maybe` keeps the rows whose texts' hashes may be wanted; sets are made of those only, each
+    `known` keeps the rows whose texts' hashes may be wanted; sets are made of those only, each
     once in a task, and what is then shuffled are sets, one of each task's copies.
     """
 
     def run(batches):
         seen = set()
         for b in slices(batches):
-            rows = b.filter(pc.and_(pa.array(maybe(b.column(0).to_numpy())), pc.is_valid(b.column(1))))
             out = []
-            for t, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for t, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t in seen:
                     continue
                 seen.add(t)
@@ -223,7 +221,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, maybe) -> DataFrame:
             if out:
                 yield batch(pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("set", pa.binary())]), *zip(*out, strict=True))
 
-    made = docs.select(F.xxhash64("text").alias("t"), utf8().alias("text")).mapInArrow(run, "digest binary, n long, set binary")
+    texts = docs.select(F.xxhash64("text").alias("t"), utf8().alias("text")).where("text is not null")
+    made = known.split(texts, F.col("t"), maybe=True).mapInArrow(run, "digest binary, n long, set binary")
     return made.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
 
@@ -495,7 +494,7 @@ def classes(docs: DataFrame, scratch: Scratch, *, percent: int = 75, tile_rows:
     """
     rows = scratch.cut(candidates(docs, percent), "rows")
     reps = scratch.cut(rows.where("alive").groupBy("digest").agg(F.min("t").alias("t")), "reps")
-    sets = scratch.cut(sets_of(docs, reps.select("digest"), bitmap(reps, "t")), "sets")
+    sets = scratch.cut(sets_of(docs, reps.select("digest"), Bitmap(reps, "t", scratch, "texts")), "sets")
     shared = scratch.cut(shared_columns(sets, percent), "shared")
     scratch.drop("sets")
     # rows of the same shared columns and size have the same partners
@@ -543,12 +542,11 @@ def one_of_each(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     verdict = scratch.cut(verdict.where("not stays or times > 1"), "verdict")
     repeated = not verdict.where("stays").isEmpty()
 
-    maybe, t, stays, row = bitmap(verdict, "t"), *(free(docs, c) for c in ("_t", "_stays", "_row"))
-    flag = F.pandas_udf(lambda x: pd.Series(maybe(x.to_numpy())), "boolean")
+    known, t, stays, row = Bitmap(verdict, "t", scratch, "named"), *(free(docs, c) for c in ("_t", "_stays", "_row"))
     keyed = docs.withColumn(t, F.xxhash64("text"))
-    sure = keyed.where(~flag(t)).select(*docs.columns)
+    sure = known.split(keyed, F.col(t), maybe=False).select(*docs.columns)
     list_ = verdict.select(F.col("doc_id").alias("_v_id"), F.col("t").alias("_v_t"), F.col("stays").alias(stays))
-    met = keyed.where(flag(t)).join(list_, (F.col(t) == F.col("_v_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_v_id")), "left")
+    met = known.split(keyed, F.col(t), maybe=True).join(list_, (F.col(t) == F.col("_v_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_v_id")), "left")
     rest = met.where(F.col(stays).isNull()).select(*docs.columns)
     if repeated:  # rows that agree in doc_id and text: the one of smallest hash of all columns
         twice = met.where(F.col(stays)).select("_v_id", "_v_t", F.struct(*docs.columns).alias(row))

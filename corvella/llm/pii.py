@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, batch, bitmap, free
+from ._shared import Bitmap, Scratch, batch, free
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = tuple(f"ctx_{k}" for k in KINDS)
@@ -304,10 +304,10 @@ def redact(docs: DataFrame, scratch: Scratch, **learning) -> DataFrame:
         return pd.Series([masked(t, [*base_spans(single_bytes(t)), *parsed(f)]) if t else t for t, f in zip(texts, found, strict=True)], dtype=object)
 
     key, salt, marks = free(docs, "_digest"), free(docs, "_salt"), free(docs, "_found")
-    maybe = bitmap(learned, "t")
-    flag = F.pandas_udf(lambda x: pd.Series(maybe(x.to_numpy())), "boolean")
+    known = Bitmap(learned, "t", scratch, "known")
     keyed = docs.withColumn(key, F.when(F.length("text") > 0, F.unhex(F.md5(F.col("text").cast("binary")))).otherwise(F.lit(b"")))
     salted = learned.select(F.col("digest").alias(key), F.col("found").alias(marks), F.explode(F.array(*map(F.lit, range(SALTS)))).alias(salt))
-    met = keyed.where(flag(F.xxhash64(key))).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [key, salt], "left")
-    rest = keyed.where(~flag(F.xxhash64(key))).withColumn(marks, F.lit(""))
-    return met.withColumn("text", rewrite("text", marks)).select(*docs.columns).unionByName(rest.withColumn("text", rewrite("text", marks)).select(*docs.columns))
+    hashed = F.xxhash64(key)
+    met = known.split(keyed, hashed, maybe=True).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [key, salt], "left")
+    rest = known.split(keyed, hashed, maybe=False).withColumn(marks, F.lit(""))
+    return met.select(*docs.columns, marks).unionByName(rest.select(*docs.columns, marks)).withColumn("text", rewrite("text", marks)).select(*docs.columns)
