@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -107,6 +109,21 @@ class Bitmap:
         return rows.join(words, there, "left_semi" if maybe else "left_anti")
 
 
+def trimmed(run):
+    """`run`, a function over Arrow batches, that gives memory back at its end: a Python worker lives on,
+    and what it holds then stands beside the next stage's."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column's text form modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -249,6 +249,7 @@ def clean(docs: DataFrame, items: DataFrame, *, most_coverage: float = 0.5, **ho
         made = [removed(t, loaded, most_coverage=most_coverage) if t else t for t in texts]
         return pd.DataFrame({"gone": [bool(t) and m is None for t, m in zip(texts, made, strict=True)], "text": pd.Series(made, dtype=object)})
 
-    made = free(docs, "_made")
+    # taken for one that may answer otherwise each time, it is asked once a row, not once for each use
+    made, strip = free(docs, "_made"), strip.asNondeterministic()
     kept = docs.withColumn(made, strip(utf8())).where(~F.col(f"{made}.gone"))
     return kept.withColumn("text", F.col(f"{made}.text").cast("string")).select(*docs.columns)

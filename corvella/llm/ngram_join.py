@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Bitmap, Scratch, batch, free, slices, utf8
+from ._shared import Bitmap, Scratch, batch, free, slices, trimmed, utf8
 
 #: Lower-cases A-Z; white space is what bytes.split() takes for it: 09-0D and 20.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -162,6 +162,7 @@ def candidates(docs: DataFrame, percent: int) -> DataFrame:
                     yield out()
         if got:
             yield out()
+        _hashes.clear()
 
     def count(key, pdf):
         if key[0] < 0:
@@ -197,7 +198,7 @@ def candidates(docs: DataFrame, percent: int) -> DataFrame:
             }
         )
 
-    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), utf8().alias("text")).mapInArrow(split, SEEN_DDL)
+    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), utf8().alias("text")).mapInArrow(trimmed(split), SEEN_DDL)
     return packed.groupBy("block", F.when(F.col("block") < 0, F.col("flush")).alias("own")).applyInPandas(count, SEEN_DDL).groupBy("flush").applyInPandas(decide, SETS_DDL)
 
 
@@ -220,9 +221,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, known: Bitmap) -> DataFrame:
                 out.append((digest(h), len(h), h.tobytes()))
             if out:
                 yield batch(pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("set", pa.binary())]), *zip(*out, strict=True))
+        _hashes.clear()
 
     texts = docs.select(F.xxhash64("text").alias("t"), utf8().alias("text")).where("text is not null")
-    made = known.split(texts, F.col("t"), maybe=True).mapInArrow(run, "digest binary, n long, set binary")
+    made = known.split(texts, F.col("t"), maybe=True).mapInArrow(trimmed(run), "digest binary, n long, set binary")
     return made.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("n").alias("n"), F.first("set").alias("set"))
 
 
@@ -299,7 +301,7 @@ def shared_columns(sets: DataFrame, percent: int) -> DataFrame:
             at = end
         return pd.DataFrame(rows, columns=NODE.names)
 
-    packed = sets.select("digest", "n", "set").mapInArrow(split, COLUMNS_DDL)
+    packed = sets.select("digest", "n", "set").mapInArrow(trimmed(split), COLUMNS_DDL)
     return packed.groupBy("block", F.when(F.col("block") < 0, F.col("flush")).alias("own")).applyInPandas(count, COLUMNS_DDL).groupBy("flush").applyInPandas(gather, NODE_DDL)
 
 
@@ -445,7 +447,7 @@ def tiles(rows: DataFrame, percent: int) -> DataFrame:
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("centre", "i", "j", "key", "label", "n", "set").repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(trimmed(run), "a long, b long")
 
 
 def link(nodes: DataFrame, scratch: Scratch, percent: int, tile_rows: int, tile_entries: int) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import batch, slices
+from ._shared import batch, slices, trimmed
 from .tokenise import REMEMBERED, encoder
 
 SCHEMA = pa.schema(
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048
         if rows:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, DDL + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), DDL + ", ids array<int>" * with_ids)

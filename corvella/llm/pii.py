@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Bitmap, Scratch, batch, free
+from ._shared import Bitmap, Scratch, batch, free, slices, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = tuple(f"ctx_{k}" for k in KINDS)
@@ -194,7 +194,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of doc_id and text: the text's digest, base spans and occurrences; no shuffle."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             found = [occurrences(t) for t in texts]
             yield batch(
@@ -205,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 [[dict(zip(("kind", "start", "end", "instance", "patterns", "may"), o, strict=True)) for o in f[1]] for f in found],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCAN_DDL)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCAN_DDL)
 
 
 def discover(scanned: DataFrame, scratch: Scratch, *, least_seeds: int = 3, confident: float = 0.8) -> DataFrame:
