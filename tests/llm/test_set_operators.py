@@ -144,7 +144,7 @@ def test_automaton_by_brute_force():
                     if ws[p : p + len(w)] == w:
                         hit |= set(range(p, p + len(w)))
                         found.add(i)
-        spans, got = decontam.Automaton(items, window).hits(ws)
+        spans, got = decontam.Automaton(items, window).packed().hits(ws)
         assert {i for s, e in spans for i in range(s, e)} == hit and got == found
 
 
@@ -154,8 +154,11 @@ def test_decontamination(spark, table, edges, empty):
     docs = table([(1, f"before text here. {item.upper()}! after it all is well and more words follow to be long enough for it to stay here"), (2, item), (3, "a Tiny, item in a longer clean text"), (4, "clean"), (5, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in decontam.report(docs, items).collect()}
     assert [got[i].n_hit for i in range(1, 6)] == [14, 14, 2, 0, 0] and got[1].n_items == 1
-    split = {r.doc_id: r for r in decontam.report(docs, items, most_words=1).collect()}
-    assert split == got
+    for how in ({"part_bytes": 1}, {"part_bytes": 1, "held_bytes": 1}):
+        assert {r.doc_id: r for r in decontam.report(docs, items, **how).collect()} == got
+        assert sorted(decontam.clean(docs, items, **how).collect()) == sorted(decontam.clean(docs, items).collect())
+    nameless = table([(None, "tiny item")], "item_id long, text string")
+    assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in decontam.report(docs, nameless).collect()} >= {(3, 2, 0, True), (4, 0, 0, False)}
     kept = {r.doc_id: r.text for r in decontam.clean(docs, items).collect()}
     assert set(kept) == {1, 3, 4, 5} and "FOX" not in kept[1] and kept[4] == "clean" and kept[5] is None
     assert not [r for r in decontam.report(decontam.clean(docs, items), items).collect() if r.contaminated]
@@ -163,6 +166,23 @@ def test_decontamination(spark, table, edges, empty):
     assert decontam.clean(edges, items.limit(0)).count() == 8
 
 
+def test_removal_by_brute_force():
+    """What is left after looking at seams only is what looking at the whole text again leaves."""
+    rng = random.Random(11)
+    for _ in range(600):
+        alphabet = [bytes([97 + k]) for k in range(rng.choice([2, 3]))]
+        window = rng.choice([2, 3, 4])
+        items = [(i, [rng.choice(alphabet) for _ in range(rng.randint(1, 6))]) for i in range(rng.randint(1, 3))]
+        parts = [decontam.Automaton(items, window).packed()]
+        text = b" ".join(rng.choice([*alphabet, b"zz"]) for _ in range(rng.randint(0, 30)))
+        want = text
+        while spans := decontam.looked(decontam.words(want), parts)[0]:
+            ws = decontam.words(want)
+            want = b" ".join(w for i, w in enumerate(ws) if not any(s <= i < e for s, e in spans))
+        got = decontam.without(text, decontam.looked(decontam.words(text), parts)[0], parts, most_coverage=1.0, window=window)
+        assert decontam.words(got) == decontam.words(want)
+
+
 def test_smallest_capacity_by_brute_force():
     rng = random.Random(3)
     for _ in range(400):

@@ -36,6 +36,21 @@ def test_wavelet_queries(n, v):
         m.access(n)
 
 
+def test_wavelet_inflates_what_it_needs(monkeypatch):
+    """Small parts and blocks: many places at once, over all seams; a question opens a part of each plane, not all."""
+    monkeypatch.setattr(wavelet, "PART", 1024)
+    ids = np.random.default_rng(3).integers(0, 300, 20_000).astype(np.uint16)
+    raw = wavelet.encode(ids, list(range(20)), [1000] * 20)
+    m = wavelet.WaveletMatrix(raw)
+    assert m.access(12_345) == ids[12_345] and 0 < len(m._open) <= m.depth < m.parts * m.depth
+    places = np.arange(0, 20_000, 7)
+    assert (m.access_many(places) == ids[places]).all()
+    lo, hi = np.arange(0, 20_000, 1000), np.arange(1000, 21_000, 1000)
+    for t in (0, 17, 299, 5000):
+        assert (m.count_many(t, lo, hi) == [(ids[a:b] == t).sum() for a, b in zip(lo, hi, strict=True)]).all()
+    assert m.occurrences(17) == np.flatnonzero(ids == 17).tolist() and (wavelet.WaveletMatrix(raw).decode() == ids).all()
+
+
 def test_packer_loses_nothing_and_pads_nothing():
     rng = random.Random(1)
     docs = [(i, np.arange(rng.choice([1, 5, 33, 40, 64, 63, 200, 40]), dtype=np.uint16)) for i in range(2000)]
@@ -83,6 +98,7 @@ def test_tables(spark, edges, empty):
     for (doc_id, text), r in zip(rows, got, strict=True):
         ids = np.append(e(text), [2]).astype("<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        assert (r.first_id, r.n_end) == (ids[0], (ids == 2).sum())
         start += len(ids)
     assert wavelet.round_trip(empty, Scratch(spark, "t"), tokenizer=NAME).count() == 0
     packed = packing.pack(edges, tokenizer=NAME).collect()
