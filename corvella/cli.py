@@ -1,5 +1,5 @@
 """Command line: index, freshness, stats, retrieve, search-image, ingest, chunk, rewrite, summary,
-embed, rerank, doctor. Errors are JSON on stderr."""
+embed, rerank, doctor, status. Errors are JSON on stderr."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import sys
 from . import config
 from .indexer import Indexer, Locked
 from .operators.chunk import document_chunks
-from .providers import HashingEmbedder, HttpEmbedder, HttpReranker, rewrite, summarise
+from .providers import HashingEmbedder, HttpChat, HttpEmbedder, HttpImageEmbedder, HttpReranker, HttpVision, health, reachable, rewrite, summarise
 from .sources.parse import kind_of, parse_one
 
 # Error codes, and what mends them.
@@ -76,8 +76,8 @@ def parser() -> Parser:
     command("index", force=on, no_prune=on)
     command("freshness")
     command("stats")
-    command("retrieve", "query", top_k=8, mode={"choices": ["hybrid", "semantic", "keyword"], "default": "hybrid"}, no_rerank=on, path_filter={}, trace={}, explain=on)
-    command("search-image", "image", top_k=5)
+    command("retrieve", "query", top_k=8, mode={"choices": ["hybrid", "semantic", "keyword"], "default": "hybrid"}, no_rerank=on, path_filter={}, trace={}, explain=on, rewrite=on, expand=on, context="")
+    command("search-image", "image", top_k=5, path_filter={})
     command("ingest", "path")
     command("chunk", "file", max_chars=800)
     command("rewrite", "query", context="")
@@ -85,14 +85,20 @@ def parser() -> Parser:
     command("embed", "text", model="")
     command("rerank", "query", docs={"nargs": "+", "required": True}, top_k=5)
     command("doctor")
+    command("status")
     return top
 
 
-def embedder(kb: config.KBConfig):
-    url = kb.extra.get("embed_url")
+def embedder(kb: config.KBConfig, services: Services | None = None):
+    url = kb.extra.get("embed_url") or (services.urls.get("embed") if services else None)
     return HttpEmbedder(url, kb.embed_model, kb.dimensions) if url else HashingEmbedder(kb.dimensions)
 
 
+def image_embedder(kb: config.KBConfig):
+    url = kb.extra.get("image_url")
+    return HttpImageEmbedder(url, kb.extra.get("image_model", ""), int(kb.extra.get("image_dimensions", 2048))) if url else None
+
+
 def content(path: str) -> str:
     if path == "-":
         return sys.stdin.read()
@@ -115,46 +121,49 @@ def run(args, spark=None) -> tuple[object, int]:
             return parse_one(args.path, f.read()), OK
     if name == "chunk":
         return [vars(c) for c in document_chunks(content(args.file), kind_of(args.file) if args.file != "-" else "text", args.max_chars)], OK
+    services = Services.of(args.registry)
     if name == "rewrite":
-        return rewrite(args.query, None, args.context), OK
+        return rewrite(args.query, services.chat(), args.context, services.prompts), OK
     if name == "summary":
-        return summarise(content(args.file), None, args.title), OK
+        return summarise(content(args.file), services.chat(), args.title, prompts=services.prompts), OK
     if name == "embed":
-        return HashingEmbedder().embed([args.text])[0], OK
+        return services.embedder(args.model).embed([args.text])[0], OK
     if name == "rerank":
-        from .operators.rerank import similarity
-
-        rated = sorted(((similarity(args.query, d), -i) for i, d in enumerate(args.docs)), reverse=True)
+        scores = services.rerank_scores(args.query, args.docs)
+        rated = sorted(((s, -i) for i, s in enumerate(scores)), reverse=True)
         return [{"index": -i, "score": round(s, 6)} for s, i in rated[: args.top_k]], OK
     if name == "doctor":
-        return doctor(args)
-    kbs, _ = config.load(args.registry)
+        return doctor(args, services, spark)
+    if name == "status":
+        found = health(services.calls())
+        return {"services": found}, OK if all(found.values()) else WARNING
+    kbs, performance = config.load(args.registry)
     spark = spark or session("local[*]")
     if name == "retrieve" and args.kb == "all":
         from pyspark.sql import functions as F
 
         from .operators.fusion import union_corpora
 
-        parts = {n: retrieved(spark, kb, args) for n, kb in kbs.items() if kb.type != "multimodal"}
+        parts = {n: retrieved(spark, kb, args, services, performance) for n, kb in kbs.items() if kb.type != "multimodal"}
         return [r.asDict(recursive=True) for r in union_corpora(parts, args.top_k, [F.desc("score"), F.col("kb"), F.col("path"), F.col("chunk_id")]).collect()], OK
     kb = config.pick(kbs, args.kb)
     if name == "search-image":
         from .operators.knn import nearest
-        from .providers import HttpImageEmbedder
-        from .store import IMAGE_DDL, ChunkStore
 
-        (vector,) = HttpImageEmbedder(kb.extra["image_url"], kb.extra.get("image_model", ""), 2048).embed([args.image])
-        images = ChunkStore(spark, f"{args.db}/kb_{kb.name}_images", dim=2048, ddl=IMAGE_DDL).read()
-        return [r.asDict(recursive=True) for r in nearest(images, vector, args.top_k, ties=("path", "image_id")).collect()], OK
+        made = image_embedder(kb)
+        if made is None:
+            raise config.BadConfig(f"{kb.name}: no image_url")
+        (vector,) = made.embed([args.image])
+        images = Indexer(spark, kb, args.db, embedder(kb, services), image_embedder=made).images.near(vector)
+        return [r.asDict(recursive=True) for r in nearest(images, vector, args.top_k, path_filter=args.path_filter, ties=("path", "image_id")).collect()], OK
     if name == "retrieve":
         if args.trace:
-            from .retriever import Retriever
-
-            rows = Retriever(Indexer(spark, kb, args.db, embedder(kb)).store.read(), embedder(kb)).trace(args.query)
+            rows = retriever(spark, kb, args, services).trace(args.query, top_k=args.top_k, mode=args.mode, use_rerank=not args.no_rerank)
             rows.toPandas().to_html(args.trace)
-        rows = retrieved(spark, kb, args)
+        rows = retrieved(spark, kb, args, services, performance)
         return [r.asDict(recursive=True) for r in rows.orderBy("rank").collect()], OK
-    indexer = Indexer(spark, kb, args.db, embedder(kb))
+    see = HttpVision(kb.extra["vision_url"], kb.extra.get("vision_model", "")) if kb.extra.get("vision_url") else services.vision()
+    indexer = Indexer(spark, kb, args.db, embedder(kb, services), see=see, image_embedder=image_embedder(kb), performance=performance)
     if name == "index":
         report = indexer.index(force=args.force, prune=not args.no_prune)
         return report, WARNING if report["files_failed"] else OK
@@ -164,32 +173,117 @@ def run(args, spark=None) -> tuple[object, int]:
     return indexer.store.stats(), OK
 
 
-def retrieved(spark, kb, args):
-    from pyspark.sql import functions as F
-
+def retriever(spark, kb, args, services):
     from .retriever import Retriever
 
-    url = kb.extra.get("rerank_url")
-    how = {"score": lambda q, t: HttpReranker(url, kb.extra.get("rerank_model", "")).column(q, t)} if url else {}
-    rows = Retriever(Indexer(spark, kb, args.db, embedder(kb)).store.read(), embedder(kb), **how).retrieve(args.query, mode=args.mode, top_k=args.top_k, use_rerank=not args.no_rerank, path_filter=args.path_filter)
+    url = kb.extra.get("rerank_url") or services.urls.get("rerank")
+    model = kb.extra.get("rerank_model") or services.models.get("rerank", "")
+    how = {"score": lambda q, t: HttpReranker(url, model).column(q, t)} if url else {}
+    made = embedder(kb, services)
+    return Retriever(Indexer(spark, kb, args.db, made).store, made, chat=services.chat(), prompts=services.prompts, **how)
+
+
+def retrieved(spark, kb, args, services, performance):
+    from pyspark.sql import functions as F
+
+    rows = retriever(spark, kb, args, services).retrieve(
+        args.query,
+        mode=args.mode,
+        top_k=args.top_k or performance["top_k"],
+        recall_size=performance["rerank_recall_size"],
+        use_rerank=not args.no_rerank,
+        path_filter=args.path_filter,
+        use_rewrite=args.rewrite,
+        expand=args.expand,
+        context=args.context,
+    )
     keep = ["rank", "path", "chunk_id", "text", "score", "ranked_by", "source", "section_title", "heading_path"]
     return rows.select(*keep, *(["explain"] if args.explain else [F.lit(None).cast("map<string,string>").alias("explain")]))
 
 
-def doctor(args) -> tuple[dict, int]:
-    """Dependencies, disk, registry: what is there, and 0, 2 for warnings or 1 for errors."""
+class Services:
+    """The model services that the registry's `services` names, each with url and model; where it names
+    none, the deterministic stand-ins serve."""
+
+    def __init__(self, given: dict | None = None):
+        given = given or {}
+        parts = {k: v for k, v in given.items() if isinstance(v, dict)}
+        self.urls = {k: v["url"] for k, v in parts.items() if v.get("url")}
+        self.models = {k: v.get("model", "") for k, v in parts.items()}
+        self.dims = {k: int(v.get("dimensions", 64)) for k, v in parts.items()}
+        self.prompts = given.get("prompts")
+
+    @classmethod
+    def of(cls, registry: str) -> Services:
+        try:
+            return cls(config.services(registry))
+        except (config.BadConfig, ImportError):
+            return cls()
+
+    def chat(self):
+        return HttpChat(self.urls["chat"], self.models["chat"]) if "chat" in self.urls else None
+
+    def vision(self):
+        return HttpVision(self.urls["vision"], self.models["vision"]) if "vision" in self.urls else None
+
+    def embedder(self, model: str = ""):
+        if "embed" not in self.urls:
+            return HashingEmbedder(self.dims.get("embed", 64))
+        return HttpEmbedder(self.urls["embed"], model or self.models["embed"], self.dims["embed"])
+
+    def rerank_scores(self, query: str, docs: list[str]) -> list[float]:
+        if "rerank" in self.urls:
+            return HttpReranker(self.urls["rerank"], self.models["rerank"]).scores(query, docs)
+        from .operators.rerank import similarity
+
+        return [similarity(query, d) for d in docs]
+
+    def calls(self) -> dict:
+        """A small request to each service that is named."""
+        calls = {
+            "embed": lambda: self.embedder().embed(["ping"]),
+            "rerank": lambda: self.rerank_scores("ping", ["ping"]),
+            "chat": lambda: self.chat().complete("ping"),
+            "vision": lambda: reachable(self.urls["vision"]),
+        }
+        return {k: v for k, v in calls.items() if k in self.urls}
+
+
+def doctor(args, services, spark=None) -> tuple[dict, int]:
+    """Dependencies, disk, registry, services, an embedding, and each table's statistics: what is there,
+    and 0, 2 for warnings or 1 for errors."""
     import importlib.util
     import shutil
 
-    deps = {m: importlib.util.find_spec(m) is not None for m in ("pyspark", "pyarrow", "pandas", "numpy", "yaml", "pypdf", "docx", "openpyxl", "pptx")}
+    deps = {m: importlib.util.find_spec(m) is not None for m in ("pyspark", "pyarrow", "pandas", "numpy", "yaml", "pypdf", "fitz", "PIL")}
     free = shutil.disk_usage(".").free
     try:
-        kbs, bad = list(config.load(args.registry)[0]), None
+        kbs, bad = config.load(args.registry)[0], None
     except config.BadConfig as e:
-        kbs, bad = [], str(e)
+        kbs, bad = {}, str(e)
     missing = [m for m in ("pyspark", "pyarrow", "pandas", "numpy") if not deps[m]]
-    warn = [*([f"{free >> 30} GB free"] if free < 10 << 30 else []), *([f"registry: {bad}"] if bad else [])]
-    return {"dependencies": deps, "free_bytes": free, "knowledge_bases": kbs, "errors": missing, "warnings": warn}, ERROR if missing else WARNING if warn else OK
+    found = health(services.calls())
+    try:
+        dim, embeds = len(services.embedder().embed(["ping"])[0]), None
+    except Exception as e:
+        dim, embeds = None, f"{type(e).__name__}: {e}"
+    tables = {}
+    if kbs:
+        from .session import session
+        from .store import open_store
+
+        spark = spark or session("local[*]")
+        for n, kb in kbs.items():
+            store = open_store(spark, f"{args.db}/kb_{n}", backend=kb.vector_backend, dim=kb.dimensions)
+            tables[n] = store.stats() if store.version() else None
+    warn = [
+        *([f"{free >> 30} GB free"] if free < 10 << 30 else []),
+        *([f"registry: {bad}"] if bad else []),
+        *(f"service {k} does not answer" for k, ok in found.items() if not ok),
+        *([f"embedding: {embeds}"] if embeds else []),
+    ]
+    report = {"dependencies": deps, "free_bytes": free, "knowledge_bases": list(kbs), "services": found, "embedding_dimensions": dim, "tables": tables, "errors": missing, "warnings": warn}
+    return report, ERROR if missing else WARNING if warn else OK
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
-PERFORMANCE = {"embed_batch_size": 64, "rerank_recall_size": 24, "top_k": 8}
+PERFORMANCE = {"embed_batch_size": 64, "image_batch_size": 64, "rerank_recall_size": 24, "top_k": 8, "warmup_on_index": True}
 
 
 class UnknownKB(KeyError):
@@ -47,21 +47,32 @@ def _merged(a: dict, b: dict) -> dict:
     return a | {k: _merged(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
 
-def load(path: str) -> tuple[dict[str, KBConfig], dict]:
-    """All knowledge bases by name, and the performance settings."""
+def whole(path: str) -> dict:
+    """The registry with its local files on top."""
     import yaml
 
     at = Path(path)
     try:
-        whole = yaml.safe_load(at.read_text(encoding="utf-8")) or {}
+        found = yaml.safe_load(at.read_text(encoding="utf-8")) or {}
         for more in sorted(at.parent.glob("*.local.yaml")):
-            whole = _merged(whole, yaml.safe_load(more.read_text(encoding="utf-8")) or {})
+            found = _merged(found, yaml.safe_load(more.read_text(encoding="utf-8")) or {})
     except (OSError, yaml.YAMLError) as e:
         raise BadConfig(str(e)) from e
-    text = (whole.get("text_backend") or {}).get("embedding") or {}
-    defaults = {"vector_backend": whole.get("vector_backend"), "dimensions": text.get("dimensions"), "embed_model": text.get("model")}
-    found = whole.get("knowledge_bases") or {}
-    return {n: KBConfig.of(n, kb or {}, defaults) for n, kb in found.items()}, PERFORMANCE | (whole.get("performance") or {})
+    return found
+
+
+def services(path: str) -> dict:
+    """What the registry says of model services."""
+    return whole(path).get("services") or {}
+
+
+def load(path: str) -> tuple[dict[str, KBConfig], dict]:
+    """All knowledge bases by name, and the performance settings."""
+    read = whole(path)
+    text = (read.get("text_backend") or {}).get("embedding") or {}
+    defaults = {"vector_backend": read.get("vector_backend"), "dimensions": text.get("dimensions"), "embed_model": text.get("model")}
+    found = read.get("knowledge_bases") or {}
+    return {n: KBConfig.of(n, kb or {}, defaults) for n, kb in found.items()}, PERFORMANCE | (read.get("performance") or {})
 
 
 def pick(kbs: dict[str, KBConfig], name: str) -> KBConfig:

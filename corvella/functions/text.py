@@ -6,10 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Suffixes by document type.
-TEXT_SUFFIXES = (
-    ".md .markdown .txt .text .log .ini .cfg .conf .py .js .jsx .ts .tsx .css .scss .less .json .yaml .yml .toml .xml .html .htm "
-    ".csv .sql .sh .bat .ps1 .r .go .rs .java .c .cpp .h .env .gitignore .dockerfile .vue .svelte .php .rb"
-).split()
+TEXT_SUFFIXES = [
+    ".md", ".markdown", ".txt", ".text", ".log", ".ini", ".cfg", ".conf", ".py", ".js", ".jsx", ".ts", ".tsx",
+    ".css", ".scss", ".less", ".json", ".yaml", ".yml", ".toml", ".xml", ".html", ".htm", ".csv", ".sql", ".sh",
+    ".bat", ".ps1", ".r", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".env", ".gitignore", ".dockerfile", ".vue",
+    ".svelte", ".php", ".rb",
+]
 SUFFIXES = {
     "text": TEXT_SUFFIXES,
     "pdf": [".pdf"],

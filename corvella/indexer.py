@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
+import socket
 import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import KBConfig
+from .config import PERFORMANCE, KBConfig
 from .operators.chunk import chunk_documents
 from .providers import Embedder, embed_column
-from .sources.parse import failures, parse
-from .sources.scan import scan
-from .store import ChunkStore, changed, freshness, open_store
+from .sources.parse import failures, parse, record_metadata
+from .sources.scan import contents, scan
+from .store import IMAGE_DDL, IMAGE_DIM, ChunkStore, changed, freshness, open_store
 
 
 class Locked(RuntimeError):
@@ -22,77 +24,137 @@ class Locked(RuntimeError):
 
 
 @contextmanager
-def locked(path: str):
-    """A lock file made with O_EXCL on the driver's machine; one whose process is gone is taken over."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+def locked(spark: SparkSession, path: str):
+    """A lock file on the file system that `path` names, so that it holds for all machines that share it.
+
+    It tells host and process; one whose process on this host is gone is taken over.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mine = {"host": socket.gethostname(), "pid": os.getpid()}
     for _ in range(2):
         try:
-            f = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            f = fs.create(at, False)
+            f.write(bytearray(json.dumps(mine).encode()))
+            f.close()
             break
-        except FileExistsError:
-            try:
-                with open(path) as held:
-                    os.kill(int(held.read() or "0") or -1, 0)
-            except (ProcessLookupError, ValueError, OverflowError):
-                os.unlink(path)
-                continue
-            except PermissionError:
-                pass  # alive, and another user's
-            raise Locked(path) from None
+        except Exception as e:
+            if not fs.exists(at):
+                raise
+            held = _holder(jvm, fs, at)
+            if held.get("host") != mine["host"] or _alive(held.get("pid", 0)):
+                raise Locked(path) from e
+            fs.delete(at, False)
     else:
         raise Locked(path)
     try:
-        os.write(f, str(os.getpid()).encode())
-        os.close(f)
         yield
     finally:
-        os.unlink(path)
+        fs.delete(at, False)
+
+
+def _holder(jvm, fs, at) -> dict:
+    f = fs.open(at)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
+    except ValueError:
+        return {"host": socket.gethostname(), "pid": 0}
+    finally:
+        f.close()
+
+
+def _alive(pid: int) -> bool:
+    try:
+        os.kill(pid or -1, 0)
+    except PermissionError:
+        return True  # another user's
+    except (ProcessLookupError, ValueError, OverflowError):
+        return False
+    return bool(pid)
 
 
 class Indexer:
-    def __init__(self, spark: SparkSession, kb: KBConfig, store_root: str, embedder: Embedder, *, see=None):
-        self.spark, self.kb, self.embedder, self.see = spark, kb, embedder, see
+    """`see` reads text from images, `image_embedder` makes vectors of page images; both may be absent."""
+
+    def __init__(self, spark: SparkSession, kb: KBConfig, store_root: str, embedder: Embedder, *, see=None, image_embedder=None, parsers=None, performance: dict | None = None):
+        self.spark, self.kb, self.embedder, self.see, self.image_embedder, self.parsers = spark, kb, embedder, see, image_embedder, parsers
+        self.performance = PERFORMANCE | (performance or {})
         self.store: ChunkStore = open_store(spark, f"{store_root}/kb_{kb.name}", backend=kb.vector_backend, dim=embedder.dim)
-        self.lock = f"/tmp/corvella-{kb.name}.lock"
+        self.images = ChunkStore(spark, f"{store_root}/kb_{kb.name}_images", dim=getattr(image_embedder, "dim", IMAGE_DIM), ddl=IMAGE_DDL)
+        self.lock = f"{store_root}/kb_{kb.name}.lock"
 
     def disk(self) -> DataFrame:
         """One file more than max_files is listed, so that a cut listing shows."""
         return scan(self.spark, self.kb.root, patterns=list(self.kb.patterns), path_filter=self.kb.path_filter, max_bytes=self.kb.max_file_bytes, max_files=self.kb.max_files + 1)
 
+    def warm_up(self) -> bool:
+        """One tiny request, so that the model is loaded when the work begins; its failure stops nothing."""
+        if not self.performance["warmup_on_index"]:
+            return False
+        try:
+            self.embedder.embed(["warm up"])
+            return True
+        except Exception:  # the run itself will tell
+            return False
+
+    def records(self, documents: DataFrame) -> DataFrame:
+        """The chunk table's rows of parsed documents."""
+        about = documents.select("path", "mtime_ns", record_metadata().alias("metadata"))
+        rows = chunk_documents(documents).join(about, "path")
+        return rows.withColumn("vector", embed_column(self.embedder, "text", self.performance["embed_batch_size"])).withColumn("model", F.lit(self.kb.embed_model))
+
+    def page_images(self, documents: DataFrame) -> DataFrame:
+        """The image table's rows of parsed documents: a row for each page that has an image."""
+        return page_records(documents, embed_column(self.image_embedder, "image", self.performance["image_batch_size"]), self.kb.extra.get("image_model", ""))
+
     def index(self, *, force: bool = False, prune: bool = True) -> dict:
-        """Bring the table up to date; a report of counts, seconds and the first errors.
+        """Bring the tables up to date; a report of counts, seconds and the first errors.
 
         A file that fails to parse keeps what is indexed of it. One that now has no chunks ends
         up empty. Pruning is skipped if the listing was cut at max_files: what is missing from it
-        may well be there.
+        may well be there. That page images fail to embed stops nothing and is reported.
         """
         began = time.time()
-        with locked(self.lock):
-            listed = self.disk()
-            cut = listed.select("path").count() > self.kb.max_files
-            files = listed.orderBy("path").limit(self.kb.max_files)
-            wanted = changed(files.select("path", "mtime_ns"), self.store.mtimes(), force=force)
-            documents = parse(files.join(wanted.select("path"), "path", "left_semi"), see=self.see).persist()
+        with locked(self.spark, self.lock):
+            warm = self.warm_up()
+            listed = self.disk().select("path", "mtime_ns")
+            cut = listed.count() > self.kb.max_files
+            names = listed.orderBy("path").limit(self.kb.max_files)  # names alone are ranked; contents follow
+            wanted = [r["path"] for r in changed(names, self.store.mtimes(), force=force).select("path").collect()]  # max_files at most
+            documents = parse(contents(self.spark, wanted), see=self.see, parsers=self.parsers).persist()
+            images_error = None
             try:
                 errors = failures(documents)
                 good = documents.where("doc_type <> 'error'")
-                chunks = chunk_documents(good).join(good.select("path", "mtime_ns", "metadata"), "path")
-                rows = chunks.withColumn("vector", embed_column(self.embedder, "text")).withColumn("model", F.lit(self.kb.embed_model))
                 n_good, failed = good.count(), errors.limit(10).collect()
-                done = self.store.upsert(rows, touched=good) if n_good else {"inserted": 0, "deleted_paths": 0, "deleted_rows": 0}
+                done = self.store.upsert(self.records(good), touched=good) if n_good else {"inserted": 0, "deleted_paths": 0, "deleted_rows": 0}
                 n_failed = errors.count() if failed else 0
+                n_images = 0
+                if self.image_embedder and n_good:
+                    try:
+                        n_images = self.images.upsert(self.page_images(good), touched=good)["inserted"]
+                    except Exception as e:
+                        images_error = f"{type(e).__name__}: {e}"[:300]
             finally:
                 documents.unpersist()
-            pruned = self.store.prune(files) if prune and not cut and self.store.version() is not None else 0
+            pruned = self.store.prune(names) if prune and not cut and self.store.version() is not None else 0
+            if pruned and self.images.version() is not None:
+                self.images.prune(names)
+            optimized = self.store.optimize()
             return {
                 "files_indexed": n_good,
                 "files_failed": n_failed,
-                "files_skipped": files.count() - n_good - n_failed,
+                "files_skipped": names.count() - n_good - n_failed,
                 "chunks_inserted": done["inserted"],
+                "images_inserted": n_images,
+                "images_error": images_error,
                 "deleted_paths": done["deleted_paths"],
                 "deleted_rows": done["deleted_rows"],
                 "files_pruned": pruned,
                 "prune_skipped_truncated": bool(prune and cut),
+                "warmed_up": warm,
+                "optimized": optimized,
                 "elapsed_s": round(time.time() - began, 3),
                 "errors": [{"path": r["path"], "error": r["error"]} for r in failed],
             }
@@ -108,3 +170,23 @@ class Indexer:
             "stale_files": [r["path"] for r in stale.collect()],
             "last_index_time": str(self.store.last_indexed()),
         }
+
+
+def page_records(documents: DataFrame, vector, model: str = "", longest: int = 500) -> DataFrame:
+    """Page-image rows of documents: image_id path:page_<n>, the page's first characters, its vector.
+
+    A page without an image has no row.
+    """
+    pages = documents.where("doc_type = 'pdf'").select("path", "mtime_ns", F.explode("pages").alias("p")).where("p.image is not null")
+    rows = pages.select("path", "mtime_ns", F.col("p.number").alias("page_num"), F.substring("p.content", 1, longest).alias("description"), F.col("p.image").alias("image"))
+    return rows.select(
+        "path",
+        F.format_string("%s:page_%03d", "path", "page_num").alias("image_id"),
+        "page_num",
+        "description",
+        F.lit("pdf_page").alias("doc_type"),
+        "mtime_ns",
+        F.lit(model).alias("model"),
+        F.lit("{}").alias("metadata"),
+        vector.alias("vector"),
+    )

@@ -12,11 +12,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import spread
 
 MAX_CHARS, MIN_CHARS, OVERLAP, MAX_BYTES = 1200, 100, 1, 1800
 
@@ -123,15 +125,18 @@ def markdown_chunks(text: str, most: int = MAX_CHARS, least: int = MIN_CHARS, ov
 
 def bounded(text: str, most: int, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Greedy cuts of a text at `most` characters and `most_bytes` UTF-8 bytes."""
-    start, size = 0, 0
-    for i, ch in enumerate(text):
-        width = len(ch.encode("utf-8", "surrogatepass"))
-        if i - start == most or size + width > most_bytes:
-            yield start, i
-            start, size = i, 0
-        size += width
-    if start < len(text):
-        yield start, len(text)
+    n = len(text)
+    if text.isascii():
+        step = min(most, most_bytes)
+        yield from ((i, min(i + step, n)) for i in range(0, n, step))
+        return
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64))))
+    start = 0
+    while start < n:
+        end = min(start + most, int(np.searchsorted(size, size[start] + most_bytes, side="right")) - 1)
+        yield start, end
+        start = end
 
 
 def document_chunks(text: str, doc_type: str = "text", most: int = MAX_CHARS, most_bytes: int = MAX_BYTES) -> list[Chunk]:
@@ -150,7 +155,10 @@ CHUNKS_DDL = "path string, chunk_id string, text string, doc_type string, headin
 
 
 def chunk_documents(docs: DataFrame, *, most: int = MAX_CHARS, most_bytes: int = MAX_BYTES) -> DataFrame:
-    """Chunks of every row of path, doc_type and content; blank and null contents have none."""
+    """Chunks of every row of path, doc_type and content; blank and null contents have none.
+
+    A document is one task's work, so no shuffle; only a table too small to fill the cores is dealt out.
+    """
     names = [c.split()[0] for c in CHUNKS_DDL.split(", ")]
 
     def run(batches):
@@ -161,7 +169,7 @@ def chunk_documents(docs: DataFrame, *, most: int = MAX_CHARS, most_bytes: int =
                     rows.append((path, c.chunk_id, c.text, kind, c.heading_path, c.section_title or "", c.content_type, c.parent, c.part, c.start, c.end))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("path", "doc_type", "content").mapInPandas(run, CHUNKS_DDL)
+    return spread(docs.select("path", "doc_type", "content")).mapInPandas(run, CHUNKS_DDL)
 
 
 # --- parts of the above that Catalyst can do alone ----------------------------------------------
@@ -174,5 +182,7 @@ def section_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def hard_parts(text: Column, most: int = MAX_CHARS) -> Column:
-    """The hard split of a text in which the byte bound cannot bind (under 1.5 bytes a character)."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / most)), lambda i: F.substr(text, (i * most + 1).cast("int"), F.lit(most)))
+    """The hard split of a text in which the byte bound cannot bind (under 1.5 bytes a character); an
+    empty text has no part."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / most)), lambda i: F.substr(text, (i * most + 1).cast("int"), F.lit(most)))
+    return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))

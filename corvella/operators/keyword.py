@@ -7,12 +7,15 @@ path filters apply to what is ranked. Only the query's n-grams are counted, in o
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key
+from ..session import spread
 
 GRAMS, K1, B = (2, 3, 4), 1.2, 0.75
 MOST_TERMS = 5
@@ -30,7 +33,13 @@ def terms(query: str, most: int = MOST_TERMS) -> list[str]:
 
 
 def occurrences(text: Column, gram: str) -> Column:
-    """How often a gram stands in a text, overlaps included."""
+    """How often a gram stands in a text, overlaps included.
+
+    A gram whose beginning is not also its end cannot overlap itself: what taking it out shortens
+    the text by tells its number, without a pattern tried at every place.
+    """
+    if not any(gram.startswith(gram[-n:]) for n in range(1, len(gram))):
+        return F.floor((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(gram), F.lit("")))) / len(gram.encode()))
     return F.regexp_count(text, F.lit("(?=" + "".join(f"\\x{{{ord(c):x}}}" for c in gram) + ")"))
 
 
@@ -45,31 +54,103 @@ def statistics(chunks: DataFrame, wanted: list[str]) -> dict:
     return {"n": row["n"], "mean": row["mean"] or 1.0, "df": {g: row[f"g{i}"] for i, g in enumerate(wanted)}}
 
 
-def bm25(query: str, found: dict) -> Column:
-    """A row's score for one query, given the corpus's statistics."""
+def bm25(query: str, found: dict, tf=None, length: Column | None = None) -> Column:
+    """A row's score for one query, given the corpus's statistics; of its text, or of what an index
+    says: tf(gram), a column, and its length."""
     low = F.lower("text")
-    norm = K1 * (1 - B + B * gram_length(low).cast("double") / F.lit(float(found["mean"])))
+    norm = K1 * (1 - B + B * (gram_length(low) if length is None else length).cast("double") / F.lit(float(found["mean"])))
     total = F.lit(0.0)
     for g in grams(query):
-        df, tf = float(found["df"][g]), occurrences(low, g).cast("double")
-        total = total + F.log(F.lit(1 + (found["n"] - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + norm)
+        df, n = float(found["df"][g]), (tf(g) if tf else occurrences(low, g)).cast("double")
+        total = total + F.log(F.lit(1 + (found["n"] - df + 0.5) / (df + 0.5))) * n * (K1 + 1) / (n + norm)
     return total
 
 
-def ranked_terms(chunks: DataFrame, asked: list[str], k: int, *, path_filter: str | None = None, ties=("path", "chunk_id"), literal_only: bool = False) -> DataFrame:
+def ranked_terms(chunks: DataFrame, asked: list[str], k: int, *, path_filter: str | None = None, ties=("path", "chunk_id"), literal_only: bool = False, index: KeywordIndex | None = None) -> DataFrame:
     """term_pos, rank, bm25 and the row, for the k best rows of each term.
 
     A term without any row of positive score takes, in order of the ties, rows that contain it.
+    With an index of the rows, only the postings of the query's n-grams are read, and of the rows
+    only the best; a term that the index does not know is looked for in all rows.
     """
+    by_term = Window.partitionBy("term_pos")
+    if index is not None and not literal_only:
+        best = index.top(asked, k, path_filter=path_filter)
+        found = best.collect()  # k rows a term at most
+        known = {r["term_pos"] for r in found}
+        paths = sorted({r["path"] for r in found})
+        top = chunks.where(F.col("path").isin(paths)).join(F.broadcast(index.spark.createDataFrame(found, best.schema)), list(KEY))
+        missing = [i for i in range(len(asked)) if i not in known]
+        if not missing:
+            return top
+        rest = ranked_terms(chunks, [asked[i] for i in missing], k, path_filter=path_filter, ties=ties, literal_only=True)
+        place = F.element_at(F.array(*map(F.lit, missing)), F.col("term_pos") + 1)
+        return top.unionByName(rest.withColumn("term_pos", place))
+    chunks = spread(chunks)
     found = statistics(chunks, list(dict.fromkeys(g for t in asked for g in grams(t))))
     rows = chunks.where(F.col("path").contains(path_filter)) if path_filter else chunks
     each = F.array(*(F.struct(F.lit(i).alias("term_pos"), (F.lit(0.0) if literal_only else bm25(t, found)).alias("bm25"), F.col("text").contains(t).alias("literal")) for i, t in enumerate(asked)))
     scored = rows.withColumn("_t", F.explode(each)).select("*", "_t.*").drop("_t").withColumn("tier", F.when(F.col("bm25") > 0, 0).when(F.col("literal"), 1)).where("tier is not null")
-    by_term = Window.partitionBy("term_pos")
     top = scored.withColumn("rank", F.row_number().over(by_term.orderBy("tier", F.desc("bm25"), *ties))).where(F.col("rank") <= k)
     return top.withColumn("_best", F.min("tier").over(by_term)).where(F.col("tier") == F.col("_best")).drop("tier", "_best", "literal")
 
 
+#: What names a chunk.
+KEY = ("path", "chunk_id")
+
+
+class KeywordIndex:
+    """Stored postings of a chunk table's n-grams, and what BM25 must know of the corpus.
+
+    `postings` holds gram, path, chunk_id, tf and the chunk's length, in folders by a hash of the
+    gram and sorted by it; `grams` each gram's document frequency, likewise; `corpus` one row of
+    totals. A query reads the folders of its own n-grams, and in them the row groups that hold
+    them. Scores are those of a scan to the last bit: terms are added up in the same order.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        corpus = spark.read.parquet(f"{self.path}/corpus").first()
+        self.n, self.mean, self.folders = corpus["n"], corpus["mean"] or 1.0, corpus["folders"]
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, *, folders: int = 64) -> KeywordIndex:
+        """Postings of every chunk. A frequent gram's are dealt over tasks by path, too."""
+        spark = chunks.sparkSession
+        folder = F.pmod(F.crc32("gram"), F.lit(folders)).cast("int").alias("folder")
+        lengths = spread(chunks.select(*KEY, "text")).withColumn("dl", gram_length(F.lower("text")).cast("long"))
+        rows = counted(lengths, "dl").select(folder, "gram", *KEY, "tf", "dl")
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows.repartitionByRange(parts, "folder", "gram", "path").sortWithinPartitions("folder", "gram", "path").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("folder", "gram").agg(F.count("*").alias("df")).sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/grams")
+        totals = chunks.agg(F.count("*").alias("n"), F.avg(gram_length(F.lower("text"))).alias("mean"), F.lit(folders).alias("folders"))
+        totals.write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(spark, path)
+
+    def of(self, table: str, wanted: list[str]) -> DataFrame:
+        """The rows of the wanted grams."""
+        folders = sorted({zlib.crc32(g.encode()) % self.folders for g in wanted})
+        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("folder").isin(folders) & F.col("gram").isin(wanted))
+
+    def statistics(self, wanted: list[str]) -> dict:
+        df = {r["gram"]: r["df"] for r in self.of("grams", wanted).select("gram", "df").collect()} if wanted else {}
+        return {"n": self.n, "mean": self.mean, "df": {g: df.get(g, 0) for g in wanted}}
+
+    def top(self, asked: list[str], k: int, *, path_filter: str | None = None) -> DataFrame:
+        """term_pos, path, chunk_id, bm25 and rank of each term's k best chunks."""
+        wanted = list(dict.fromkeys(g for t in asked for g in grams(t)))
+        found = self.statistics(wanted)
+        rows = self.of("postings", wanted)
+        rows = rows.where(F.col("path").contains(path_filter)) if path_filter else rows
+        times = {g: f"t{i}" for i, g in enumerate(wanted)}
+        met = rows.groupBy(*KEY).agg(F.first("dl").alias("dl"), *(F.coalesce(F.sum(F.when(F.col("gram") == g, F.col("tf"))), F.lit(0)).alias(c) for g, c in times.items()))
+        each = F.array(*(F.struct(F.lit(i).alias("term_pos"), bm25(t, found, lambda g: F.col(times[g]), F.col("dl")).alias("bm25")) for i, t in enumerate(asked)))
+        scored = met.select(*KEY, F.explode(each).alias("_t")).select("_t.*", *KEY).where("bm25 > 0")
+        order = Window.partitionBy("term_pos").orderBy(F.desc("bm25"), *KEY)
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def keyword_search(chunks: DataFrame, query: str, k: int, **how) -> DataFrame:
     """The k best rows for the query as one term."""
     return ranked_terms(chunks, [query], k, **how).drop("term_pos")
@@ -83,14 +164,17 @@ def keyword_recall(chunks: DataFrame, query: str, k: int = 24, **how) -> DataFra
     return first.withColumn("kw_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term_pos", "rank"))).drop("_n")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(gram, path, chunk_id, tf): the n-gram index, for many queries over one corpus; in time linear in a chunk's length."""
+def counted(chunks: DataFrame, *more: str) -> DataFrame:
+    """gram, path, chunk_id, tf and the columns `more`, for each n-gram of every chunk."""
 
     @F.pandas_udf("array<struct<gram:string,tf:long>>")
     def count(lowered):
-        import pandas as pd
-
         return pd.Series([list(Counter(t[i : i + n] for n in GRAMS for i in range(len(t) - n + 1)).items()) if t else [] for t in lowered], dtype=object)
 
-    each = chunks.select("path", "chunk_id", F.explode(count(F.lower("text"))).alias("_g")).select(F.col("_g.gram").alias("gram"), "path", "chunk_id", F.col("_g.tf").alias("tf"))
-    return each.groupBy("gram", "path", "chunk_id").agg(F.sum("tf").alias("tf"))
+    each = chunks.select(*KEY, *more, F.explode(count(F.lower("text"))).alias("_g"))
+    return each.select(F.col("_g.gram").alias("gram"), *KEY, F.col("_g.tf").alias("tf"), *more)
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(gram, path, chunk_id, tf): the n-gram index, for many queries over one corpus; in time linear in a chunk's length."""
+    return counted(spread(chunks)).groupBy("gram", *KEY).agg(F.sum("tf").alias("tf"))

@@ -116,19 +116,24 @@ class CellIndex:
     @classmethod
     def build(cls, chunks: DataFrame, path: str, *, cells: int | None = None, seed: int = 11, sample_rows: int = 20_000) -> CellIndex | None:
         """Centroids come from at most `sample_rows` rows; every row is stored in its cell. None below LEAST_ROWS."""
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-
         n = chunks.count()
         if n < cls.LEAST_ROWS:
             return None
+        centroids = cls.centres(chunks, n, cells=cells, seed=seed, sample_rows=sample_rows)
+        cell = F.pandas_udf(cell_of(centroids), "int")
+        chunks.withColumn("cell", cell("vector")).write.mode("overwrite").partitionBy("cell").parquet(path)
+        return cls(path, centroids, n)
+
+    @staticmethod
+    def centres(chunks: DataFrame, n: int, *, cells: int | None = None, seed: int = 11, sample_rows: int = 20_000) -> np.ndarray:
+        """The cells' centroids, of at most about `sample_rows` of the n rows."""
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
         points = chunks.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
         fit = points if n <= sample_rows else points.sample(sample_rows / n, seed=seed)
         wanted = cells or ann_partitions(n)  # KMeans takes two or more; one cell has any centre
-        centroids = np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(fit).clusterCenters() if wanted > 1 else [points.first()[0].toArray()])
-        cell = F.pandas_udf(_cell_of(centroids), "int")
-        chunks.withColumn("cell", cell("vector")).write.mode("overwrite").partitionBy("cell").parquet(path)
-        return cls(path, centroids, n)
+        return np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(fit).clusterCenters() if wanted > 1 else [points.first()[0].toArray()])
 
     def stale(self, rows: int) -> bool:
         return rows > self.OUTGROWN * self.rows_at_build
@@ -152,10 +157,16 @@ class CellIndex:
         return nearest_each(spark.read.parquet(self.path), queries, k, probed=lambda matrix: self.probed(matrix, probes), **how)
 
 
-def _cell_of(centroids: np.ndarray):
+def cell_of(centroids: np.ndarray):
+    """Each vector's nearest centroid; null of null."""
+
     def of(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series((-2 * x @ centroids.T + (centroids**2).sum(axis=1)).argmin(axis=1).astype(np.int32))
+        there = vectors.notna().to_numpy()
+        out = pd.array([None] * len(vectors), dtype="Int32")
+        if there.any():
+            x = np.stack(vectors[there].to_numpy()).astype(np.float64)
+            out[there] = (-2 * x @ centroids.T + (centroids**2).sum(axis=1)).argmin(axis=1)
+        return pd.Series(out)
 
     of.__annotations__ = {"vectors": pd.Series, "return": pd.Series}
     return of

@@ -7,6 +7,7 @@ mtime_ns is n_chars; its vectors are those of `embeddings` with the same id.
 from __future__ import annotations
 
 import functools
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -37,11 +38,15 @@ def query(f: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _made.items()}
+    from . import extended
+
+    return {name: f for name, (f, _) in _made.items()} | extended.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _made.items() if sql}
+    from . import extended
+
+    return {name: sql for name, (_, sql) in _made.items() if sql} | extended.oracle_sql()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +79,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit("v").alias("chunk_id"), "label", F.col("embedding").alias("vector"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's spark.checkpoint.dir; a local session without one
+    has a temporary folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="corvella-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/corvella"
+
+
 def every_hundredth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors that a batch asks for."""
     return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -141,7 +158,7 @@ def image_knn(spark, sf_dir):
 def vector_knn_ivf(spark, sf_dir):
     """Share of every query's exact 8 nearest that a search of the cells, as the index is set by itself, finds; approximate, so without SQL."""
     rows, asked = vectors(spark, sf_dir), every_hundredth(spark, sf_dir)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/corvella/cells-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
     index = knn.CellIndex.build(rows, folder)
     exact = knn.nearest_each(rows, asked, 8)
     found = exact if index is None else index.search_each(spark, asked, 8)
@@ -296,7 +313,7 @@ def explain_columns(spark, sf_dir):
 
 @query
 def trace_stages(spark, sf_dir):
-    return retriever(spark, sf_dir).trace(ASKED, use_rerank=False).groupBy("stage").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
+    return retriever(spark, sf_dir).trace(ASKED, use_rerank=True).groupBy("stage").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
 
 
 @query
@@ -307,8 +324,6 @@ def result_format(spark, sf_dir):
 
 @query
 def parent_context(spark, sf_dir):
-
-
     docs = texts(spark, sf_dir).select("path", F.col("text").alias("content"))
     cut = texts(spark, sf_dir).withColumn("text", F.substring("text", 601, 300)).where("length(text) > 0")
     return expanded(cut, docs, around=50).select("path", F.md5("context").alias("md5"))
@@ -542,8 +557,7 @@ def prune_orphans(spark, sf_dir):
 
 
 def _store(spark) -> ChunkStore:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp')}/corvella/store-{uuid.uuid4().hex}"
-    return ChunkStore(spark, folder, dim=64)
+    return ChunkStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", dim=64)
 
 
 @query
@@ -575,7 +589,7 @@ def stream_event_counts(spark, sf_dir):
     name = f"counts_{uuid.uuid4().hex}"
     files = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(files).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(files if spark.read.format("binaryFile").load(files).count() > 1 else f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{files}*")
     run = event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))

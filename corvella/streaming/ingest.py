@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunk import chunk_documents
 from ..providers import Embedder, embed_column
-from ..sources.parse import parse
+from ..sources.parse import parse, record_metadata
 from ..store import ChunkStore
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -22,7 +22,7 @@ def ingest_stream(spark: SparkSession, root: str, store: ChunkStore, embedder: E
         documents = parse(batch.select("path", (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")).where("doc_type <> 'error'").persist()
         try:
             if not documents.isEmpty():
-                rows = chunk_documents(documents).join(documents.select("path", "mtime_ns", "metadata"), "path")
+                rows = chunk_documents(documents).join(documents.select("path", "mtime_ns", record_metadata().alias("metadata")), "path")
                 store.upsert(rows.withColumn("vector", embed_column(embedder, "text")), touched=documents)
         finally:
             documents.unpersist()
