@@ -31,8 +31,7 @@ _WORDS = BLOCK // 64
 def _planes(codes: np.ndarray, depth: int):
     """The bit-planes from the highest, each as bits and how many zeros it has."""
     for k in range(depth - 1, -1, -1):
-        bit = (codes >> codes.dtype.type(k)) & codes.dtype.type(1)
-        bit = bit.view(np.bool_) if bit.itemsize == 1 else bit.astype(np.bool_)
+        bit = (codes & codes.dtype.type(1 << k)).astype(np.bool_)
         ones = np.flatnonzero(bit)
         yield np.packbits(bit, bitorder="little"), len(codes) - len(ones)
         if k:
@@ -248,7 +247,7 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(draft, f"{at}/{name}")
 
 
-def write(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 23) -> DataFrame:
+def write(docs: DataFrame, folder: str, *, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 21) -> DataFrame:
     """Write every document's ids, its end id appended, to files below `folder`; returns the manifest's frame.
 
     A null text is empty: its end id alone. Rows are dealt by ranges of (doc_id, hash of text) and
