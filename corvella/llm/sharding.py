@@ -138,15 +138,17 @@ def shard(docs: DataFrame, scratch: Scratch, *, shards: int = 16, slot_rows: int
     A row's size is its text's UTF-8 bytes plus 1; null counts as the empty text. Slots number a
     shard's rows without gaps: rows are dealt into buckets of about `slot_rows` by a hash of
     doc_id and text, numbered within, and offset by the buckets before, so neither a shard nor a
-    group of copies is ever sorted in one task. Repeated rows get a slot each.
+    group of copies is ever sorted in one task. Rows without an id, of which there may be very many
+    of one text, are dealt by their place when first read. Repeated rows get a slot each. An empty
+    table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = scratch.cut(docs.select("doc_id", (F.length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("gid")), "rows")
+    rows = scratch.cut(docs.select("doc_id", (F.length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("gid"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_place")), "rows")
     groups = scratch.cut(rows.groupBy("gid").agg(F.sum("size").alias("bytes")), "groups")
     starts, capacity = cut_points(groups, shards)
     n = rows.count()
     place = sum((F.when(F.col("gid") >= s, 1).otherwise(0) for s in starts), F.lit(0)).cast("int")
-    dealt = rows.withColumn("shard", place).withColumn("_sub", F.pmod(F.xxhash64("doc_id", "gid"), F.lit(max(1, -(-n // slot_rows)))))
+    dealt = rows.withColumn("shard", place).withColumn("_sub", F.pmod(F.xxhash64("doc_id", "gid", "_place"), F.lit(max(1, -(-n // slot_rows)))))
     counts = dealt.groupBy("shard", "_sub").count()
     before = counts.withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("count")).drop("count")
     numbered = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("shard", "_sub").orderBy("gid", "doc_id")))
