@@ -38,9 +38,9 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, with their ids."""
     # workers go on to other stages: they keep few words' ids
-    return packing.pack(docs, tokenizer=TOKENIZER, remembered=100_000)
+    return packing.pack(docs, tokenizer=TOKENIZER, with_ids=True, remembered=100_000)
 
 
 STAGES = [
