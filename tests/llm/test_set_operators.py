@@ -222,7 +222,13 @@ def test_shards(spark, table, edges, empty):
     assert len(got) == 1000 and all(len(s) == 1 for s in place.values())
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
     assert max(sum(r.size for r in rs) for rs in by.values()) <= got[0].capacity
-    assert sharding.shard(edges, Scratch(spark, "t")).count() == 8 and sharding.shard(empty, Scratch(spark, "t")).count() == 0
+    assert sharding.shard(empty, Scratch(spark, "t")).count() == 0
+    got = sharding.shard(edges, Scratch(spark, "t"), shards=3, slot_rows=2).collect()
+    assert len(got) == 8 and [(r.size, r.text_crc32) for r in got if r.doc_id in (3, 4)] == [(1, 0), (1, 0)]
+    assert len({r.shard for r in got if r.doc_id in (3, 4)}) == len({r.shard for r in got if r.doc_id == 1}) == 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(3))
+    many = sharding.shard(table([(None, "")] * 500 + [(1, "x")], "doc_id long, text string"), Scratch(spark, "t"), shards=2, slot_rows=50).collect()
+    assert sorted((r.shard, r.slot) for r in many) == [(s, i) for s in (0, 1) for i in range(sum(r.shard == s for r in many))]
 
 
 def search(spark, rows, k, query="vec_id % 20 = 0"):
@@ -253,6 +259,20 @@ def test_nearest_neighbours(spark, table):
     assert hit / total >= 0.9 and 2020 not in got
 
 
+def test_vectors_of_doubles(spark, table):
+    """Differences that floats cannot hold decide; large components count; an id has one vector."""
+    ddl = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 1.0]), *((i, [1 + i * 1e-9, 1.0]) for i in range(1, 40)), (50, [-1e300, 1e300]), (7, [9.0, 9.0, 9.0])]
+    got = sorted(search(spark, table(rows, ddl), 3).where("query_id = 0").collect(), key=lambda r: r.rank)
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1 + i * 1e-9 + 1.0) for i in (39, 38, 37)]
+    assert {r.query_id for r in search(spark, table(rows, ddl), 3).collect()} == {0, 20}
+
+
+def test_share_of_points_that_are_looked_at_falls():
+    at = [ann.probes_for(n, 16384) for n in (100, 900, 10**4, 10**5, 10**6, 10**7, 10**9)]
+    assert at[0] == 16384 and at == sorted(at, reverse=True) and at[-1] < at[2] / 10
+
+
 def test_few_vectors(spark, table):
     ddl = "vec_id long, embedding array<float>"
     got = search(spark, table([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.5])], ddl), 20).collect()
