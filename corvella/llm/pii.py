@@ -9,7 +9,6 @@ final high-confidence patterns mark identifiers that no expression found.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 
@@ -82,7 +81,6 @@ def single_bytes(text: str) -> bytes:
 #: A longer token is no identifier (a mail address has no more characters); a longer word of a
 #: context stands in patterns as LONG_WORD, whatever it is.
 LONGEST, LONG_WORD = 254, "<long>"
-_token = re.compile(r"\S+")
 
 #: Where a token may be an identifier: four digits in a row, or what addresses have.
 _hint = re.compile(rb"[0-9]{4}|@|[\[({<]at[\])}>]|[A-Za-z0-9_-]\.[A-Za-z]{2}|[0-9A-Fa-f][.:][0-9A-Fa-f]|::", re.I)
@@ -137,20 +135,25 @@ def identifiers(raw: bytes, base) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def patterns(text: str, start: int, end: int, tokens: list[tuple[int, int]], begins: list[int]) -> list[str]:
-    """What stands around a span: two words before; a word on each side; a cue ending in : = or #.
+def beside(text: str, start: int, end: int) -> tuple[list[str], str | None]:
+    """The two words before a span and the one behind it, lower-cased, of a word that the span stands
+    in what lies outside; each is read to its end, however far that is."""
 
-    tokens: the text's runs without white space, and where each begins. A token that the span
-    stands in counts as far as it lies outside.
-    """
+    def word(w: str) -> str:
+        return w.lower() if len(w) <= LONGEST else LONG_WORD
+
+    reach = 48
+    while len(before := text[max(0, start - reach) : start].split()) < 3 and reach < start:
+        reach *= 4
+    reach = 48
+    while len(behind := text[end : end + reach].split(None, 1)) < 2 and end + reach < len(text):
+        reach *= 4
+    return [word(w) for w in before[-2:]], word(behind[0].rstrip()) if behind else None
 
-    def word(s: int, e: int) -> str:
-        return text[s:e].lower() if e - s <= LONGEST else LONG_WORD
 
-    k = bisect.bisect_left(begins, start)
-    before = [word(s, min(e, start)) for s, e in tokens[max(0, k - 2) : k]]
-    k = max(0, bisect.bisect_right(begins, end) - 1)
-    behind = next((word(max(s, end), e) for s, e in tokens[k : k + 2] if e > end), None)
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """What stands around a span: two words before; a word on each side; a cue ending in : = or #."""
+    before, behind = beside(text, start, end)
     out = []
     if len(before) >= 2:
         out.append(f"{before[-2]} {before[-1]} _")
@@ -168,11 +171,7 @@ def occurrences(text: str | None) -> tuple[list[tuple[str, int, int]], list[tupl
     raw = single_bytes(text)
     base = base_spans(raw)
     rest = identifiers(raw, base)
-    if not base and not rest:
-        return [], []
-    tokens = [m.span() for m in _token.finditer(text)]
-    begins = [s for s, _ in tokens]
-    return base, [(k, s, e, text[s:e], patterns(text, s, e, tokens, begins), [k] if k else may_be(raw[s:e])) for k, s, e in [*base, *((None, s, e) for s, e in rest)]]
+    return base, [(k, s, e, text[s:e], patterns(text, s, e), [k] if k else may_be(raw[s:e])) for k, s, e in [*base, *((None, s, e) for s, e in rest)]]
 
 
 SCAN = pa.schema(
