@@ -114,6 +114,16 @@ def test_contexts_discover_any_shape(spark, table):
     assert all(found[i].found == "" and redacted[i] == rows[i][1] for i in range(plain, len(rows)))
 
 
+def test_words_beside_a_span():
+    rng = random.Random(12)
+    for _ in range(3000):
+        t = "".join(rng.choice(["ab", "C" * rng.choice([1, 60, 300]), " ", " " * rng.choice([1, 70]), "\n", "1", ":"]) for _ in range(rng.randint(1, 12)))
+        s, e = sorted((rng.randrange(len(t) + 1), rng.randrange(len(t) + 1)))
+        word = lambda w: w.lower() if len(w) <= pii.LONGEST else pii.LONG_WORD
+        before, behind = t[:s].split(), t[e:].split()
+        assert pii.beside(t, s, e) == ([word(w) for w in before[-2:]], word(behind[0]) if behind else None)
+
+
 def discovered(texts, least_seeds=3, confident=0.8):
     """The learned spans of each text by plain dictionaries."""
     seen = [pii.occurrences(t)[1] for t in texts]
