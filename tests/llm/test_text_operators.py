@@ -114,6 +114,16 @@ def test_contexts_discover_any_shape(spark, table):
     assert all(found[i].found == "" and redacted[i] == rows[i][1] for i in range(plain, len(rows)))
 
 
+def test_foldings_hide_nothing():
+    """A text that its folding lets pass unsearched holds no hint and no run of digits."""
+    rng = random.Random(13)
+    for _ in range(40000):
+        t = "".join(rng.choice("aZ09_-.:@[]<>(){} é\n/at") for _ in range(rng.randint(0, 9))).encode("latin-1")
+        folded = t.translate(pii._FOLD)
+        assert any(h in folded for h in pii.HINTS) or not pii._hint.search(t), t
+        assert folded.count(b"0") >= 6 or not list(pii.runs(t)), t
+
+
 def test_words_beside_a_span():
     rng = random.Random(12)
     for _ in range(3000):
