@@ -10,6 +10,9 @@ import numpy as np
 
 #: So many words' ids are remembered, and as many of those before them, of which what is met again stays.
 REMEMBERED = 500_000
+#: The character that stands for each byte: itself if it shows, else the next from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _PUNCTUATION = ".,;:!?#$%&*|\"()[]"
 
 
@@ -52,8 +55,17 @@ class Encoder(dict):
             and [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             and not made.get("post_processor")
         )
+        last = steps[-1]
+        self.by_word = self.by_word and len(steps) == 2 and last.get("type") == "ByteLevel" and not last.get("add_prefix_space")
+        self.model = self.library.model
         self.special = [t["content"] for t in made.get("added_tokens", [])]
 
+    def letters(self, word: str) -> bytes:
+        """The ids of a word of letters alone: one pre-token, whose bytes go to the library's model as the
+        characters that stand for them."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.dtype).tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
@@ -67,6 +79,8 @@ class Encoder(dict):
         core = word.rstrip(_PUNCTUATION)
         if len(core) < len(word) and core.isalpha():
             ids = self[core] + self[word[len(core) :]]  # letters and what follows are never one token
+        elif word.isalpha():
+            ids = self.letters(word)
         else:
             ids = self.whole(word)
         self[word] = ids
