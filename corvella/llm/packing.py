@@ -2,9 +2,9 @@
 
 What a document has beyond whole windows goes to the open window whose choice makes the sum of
 squared counts of windows by fill level smallest; an array over fill levels holds the counts.
-Documents may be cut, so no fill is wasted: where too many windows stay open, those of the most
-frequent level are poured together, and at the end of a partition all are; what then remains
-fills sequences whose lengths are powers of two, which need no padding.
+Documents may be cut, so no fill is wasted: windows that are open at the end of a partition are
+poured together, and what then remains fills sequences whose lengths are powers of two, which
+need no padding. The more documents a partition has, the fewer of its windows are left open.
 """
 
 from __future__ import annotations
@@ -37,11 +37,10 @@ class Packer:
     """Packs one stream of documents. A piece is (doc_id, start, ids, doc_tokens); a finished
     sequence is a list of pieces whose lengths add up to the window or to a power of two."""
 
-    def __init__(self, window: int = 2048, most_open: int = 4096):
-        self.window, self.most_open = window, most_open
+    def __init__(self, window: int = 2048):
+        self.window = window
         self.level = np.zeros(window + 1, dtype=np.int64)  # open windows by fill
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        self.n_open = 0
 
     def choose(self, size: int) -> int:
         """The fill level to put `size` tokens on: 0 opens a window; ties go to the fullest."""
@@ -64,29 +63,13 @@ class Packer:
         piece, fill = (doc_id, at, ids[at:].copy(), n), self.choose(n - at)
         held = self.open[fill].pop() if fill else []
         self.level[fill] -= bool(fill)
-        self.n_open += not fill
         held.append(piece)
         fill += n - at
         if fill == self.window:
-            self.n_open -= 1
             yield held
             return
         self.level[fill] += 1
         self.open[fill].append(held)
-        if self.n_open > self.most_open:
-            yield from self.pour(int(np.argmax(self.level[1:])) + 1)
-
-    def pour(self, fill: int):
-        """Pour the windows of one level together, but for one at most."""
-        pieces = [p for held in self.open[fill] for p in held]
-        self.n_open -= len(self.open[fill])
-        self.open[fill], self.level[fill] = [], 0
-        rest = yield from self.cut(pieces)
-        if rest:
-            at = sum(len(p[2]) for p in rest)
-            self.level[at] += 1
-            self.open[at].append(rest)
-            self.n_open += 1
 
     def cut(self, pieces, size: int | None = None):
         """Full sequences of the pieces in order; returns the pieces that are left."""
@@ -112,7 +95,7 @@ class Packer:
             full, more = self.split(rest, size)
             yield full
             rest, left = more, left - size
-        self.__init__(self.window, self.most_open)
+        self.__init__(self.window)
 
     @staticmethod
     def split(pieces, size: int):
@@ -127,12 +110,14 @@ class Packer:
         return full, more
 
 
-def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048, with_ids: bool = False, remembered: int = REMEMBERED, least_rows: int = 8192) -> DataFrame:
     """One row for each piece of every document: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids if asked for. No shuffle: each partition packs its own
     documents, and sequences never cross partitions. All are full or of a power of two, so none is padded.
 
-    A null or empty text is its end id alone. Null ids and repeated rows are documents like any
+    Partitions of few rows are read together, so that one has about `least_rows` or more: a task
+    holds the windows that are open, its partition's tokens at most. A null or empty text is its
+    end id alone. Null ids and repeated rows are documents like any
     other. sequence_id holds the partition above bit 40; it is unique, not gapless.
     """
     schema = SCHEMA if with_ids else pa.schema(list(SCHEMA)[:-1])
@@ -168,4 +153,5 @@ def pack(docs: DataFrame, *, tokenizer: str, end_id: int = 1, window: int = 2048
         if rows:
             yield out()
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), DDL + ", ids array<int>" * with_ids)
+    rows = docs.select("doc_id", "text")
+    return rows.coalesce(max(1, rows.count() // least_rows)).mapInArrow(trimmed(run), DDL + ", ids array<int>" * with_ids)
