@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -215,3 +216,28 @@ def test_mmr_brute_force():
 
             chosen.append(max((i for i in range(n) if i not in chosen), key=value))
         assert rerank.mmr_order(scores, alike, 4) == chosen
+
+
+def test_each_query_of_a_frame(spark):
+    rng = random.Random(7)
+    data = [(f"/{i}", "1", f"t{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(50)]
+    chunks = spark.createDataFrame(data, "path string, chunk_id string, text string, vector array<float>")
+    queries = spark.createDataFrame([(i, data[i][3]) for i in (3, 11)], "query_id long, vector array<float>")
+    got = Retriever(chunks).retrieve_each(queries, top_k=3, path_filter="1").collect()
+    for q in (3, 11):
+        far = lambda v, q=q: sum((a - b) ** 2 for a, b in zip(v, data[q][3], strict=True))
+        want = [p for p, *_ in sorted((d for d in data if "1" in d[0]), key=lambda d: far(d[3]))[:3]]
+        assert [r.path for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_spread_rows(spark):
+    from corvella.session import spread
+
+    small = spark.range(100).coalesce(1)
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(small).count() == 100
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16")
+    try:
+        assert spread(small).rdd.getNumPartitions() == 1  # large for such cores: it stays where it is
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
