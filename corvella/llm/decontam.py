@@ -346,6 +346,8 @@ def kept_words(ws: list[bytes], spans, parts, window: int) -> np.ndarray:
 def without(text: bytes, spans, parts, *, most_coverage: float, window: int) -> bytes | None:
     """The text without its contaminated spans of words, or None if they cover more than
     `most_coverage` of its words."""
+    if not len(spans):
+        return text
     at = [m.span() for m in _word.finditer(text.translate(_WORDS))]
     if at and sum(e - s for s, e in spans) > most_coverage * len(at):
         return None
