@@ -7,15 +7,16 @@ path filters apply to what is ranked. Only the query's n-grams are counted, in o
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key
 from ..session import spread
+from .grams import blocks, counts, packed, unpacked
 
 GRAMS, K1, B = (2, 3, 4), 1.2, 0.75
 MOST_TERMS = 5
@@ -79,7 +80,12 @@ def ranked_terms(chunks: DataFrame, asked: list[str], k: int, *, path_filter: st
         found = best.collect()  # k rows a term at most
         known = {r["term_pos"] for r in found}
         paths = sorted({r["path"] for r in found})
-        top = chunks.where(F.col("path").isin(paths)).join(F.broadcast(index.spark.createDataFrame(found, best.schema)), list(KEY))
+        # rows of one name are told apart by their texts, equal ones by number
+        same = [*KEY, "digest"]
+        there = chunks.where(F.col("path").isin(paths)).withColumn("digest", F.xxhash64("text"))
+        there = there.withColumn("_same", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+        ranked = index.spark.createDataFrame(found, best.schema).withColumn("_same", F.row_number().over(Window.partitionBy("term_pos", *same).orderBy("rank")))
+        top = there.join(F.broadcast(ranked), [*same, "_same"]).drop("digest", "_same")
         missing = [i for i in range(len(asked)) if i not in known]
         if not missing:
             return top
@@ -102,55 +108,91 @@ KEY = ("path", "chunk_id")
 class KeywordIndex:
     """Stored postings of a chunk table's n-grams, and what BM25 must know of the corpus.
 
-    `postings` holds gram, path, chunk_id, tf and the chunk's length, in folders by a hash of the
-    gram and sorted by it; `grams` each gram's document frequency, likewise; `corpus` one row of
-    totals. A query reads the folders of its own n-grams, and in them the row groups that hold
-    them. Scores are those of a scan to the last bit: terms are added up in the same order.
+    `blocks` holds what a task made of a million characters at a time: for each n-gram of the
+    block a row of its number of chunks, their places in the block as packed differences, and how often
+    each holds it; and for each chunk a row (its gram is empty) of place, name and length. A block's
+    grams are in order, so a query reads the pages that its own n-grams stand in. Postings are not
+    shuffled. `totals` is one row. Scores are those of a scan to the last bit: terms are added up in
+    the same order.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        corpus = spark.read.parquet(f"{self.path}/corpus").first()
-        self.n, self.mean, self.folders = corpus["n"], corpus["mean"] or 1.0, corpus["folders"]
+        totals = spark.read.parquet(f"{self.path}/totals").first()
+        self.n, self.mean = totals["n"], totals["mean"] or 1.0
 
     @classmethod
-    def build(cls, chunks: DataFrame, path: str, *, folders: int = 64) -> KeywordIndex:
-        """Postings of every chunk. A frequent gram's are dealt over tasks by path, too."""
+    def build(cls, chunks: DataFrame, path: str) -> KeywordIndex:
+        """Postings of every chunk, from one reading of the texts."""
         spark = chunks.sparkSession
-        folder = F.pmod(F.crc32("gram"), F.lit(folders)).cast("int").alias("folder")
-        lengths = spread(chunks.select(*KEY, "text")).withColumn("dl", gram_length(F.lower("text")).cast("long"))
-        rows = counted(lengths, "dl").select(folder, "gram", *KEY, "tf", "dl")
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.repartitionByRange(parts, "folder", "gram", "path").sortWithinPartitions("folder", "gram", "path").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
-        stored = spark.read.parquet(f"{path}/postings")
-        stored.groupBy("folder", "gram").agg(F.count("*").alias("df")).sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/grams")
-        totals = chunks.agg(F.count("*").alias("n"), F.avg(gram_length(F.lower("text"))).alias("mean"), F.lit(folders).alias("folders"))
-        totals.write.mode("overwrite").parquet(f"{path}/corpus")
+        low = F.lower("text")
+        rows = spread(chunks.select(*KEY, "text")).select(*KEY, low.alias("text"), gram_length(low).cast("long"), F.xxhash64("text"))
+        rows.mapInArrow(indexed, BLOCKS_DDL).write.mode("overwrite").parquet(f"{path}/blocks")
+        named = spark.read.schema(BLOCKS_DDL).parquet(f"{path}/blocks").where("gram = ''")
+        named.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
         return cls(spark, path)
 
-    def of(self, table: str, wanted: list[str]) -> DataFrame:
-        """The rows of the wanted grams."""
-        folders = sorted({zlib.crc32(g.encode()) % self.folders for g in wanted})
-        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("folder").isin(folders) & F.col("gram").isin(wanted))
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema(BLOCKS_DDL).parquet(f"{self.path}/blocks")
 
     def statistics(self, wanted: list[str]) -> dict:
-        df = {r["gram"]: r["df"] for r in self.of("grams", wanted).select("gram", "df").collect()} if wanted else {}
+        rows = self.blocks.where(F.col("gram").isin(wanted)).groupBy("gram").agg(F.sum("df").alias("df")) if wanted else None
+        df = {r["gram"]: r["df"] for r in rows.collect()} if wanted else {}
         return {"n": self.n, "mean": self.mean, "df": {g: df.get(g, 0) for g in wanted}}
 
     def top(self, asked: list[str], k: int, *, path_filter: str | None = None) -> DataFrame:
-        """term_pos, path, chunk_id, bm25 and rank of each term's k best chunks."""
+        """term_pos, path, chunk_id, digest, bm25 and rank of each term's k best chunks."""
         wanted = list(dict.fromkeys(g for t in asked for g in grams(t)))
         found = self.statistics(wanted)
-        rows = self.of("postings", wanted)
-        rows = rows.where(F.col("path").contains(path_filter)) if path_filter else rows
+        rows = self.blocks.where(F.col("gram").isin(wanted)).select("gram", "block", "places", "times").mapInArrow(opened, "gram string, block string, place int, tf long")
         times = {g: f"t{i}" for i, g in enumerate(wanted)}
-        met = rows.groupBy(*KEY).agg(F.first("dl").alias("dl"), *(F.coalesce(F.sum(F.when(F.col("gram") == g, F.col("tf"))), F.lit(0)).alias(c) for g, c in times.items()))
+        met = rows.groupBy("block", "place").agg(*(F.coalesce(F.sum(F.when(F.col("gram") == g, F.col("tf"))), F.lit(0)).alias(c) for g, c in times.items())) if wanted else rows
+        named = self.blocks.where("gram = ''").select("block", "place", *KEY, "dl", "digest")
+        met = met.join(named.where(F.col("path").contains(path_filter)) if path_filter else named, ["block", "place"])
         each = F.array(*(F.struct(F.lit(i).alias("term_pos"), bm25(t, found, lambda g: F.col(times[g]), F.col("dl")).alias("bm25")) for i, t in enumerate(asked)))
-        scored = met.select(*KEY, F.explode(each).alias("_t")).select("_t.*", *KEY).where("bm25 > 0")
+        scored = met.select(*KEY, "digest", F.explode(each).alias("_t")).select("_t.*", *KEY, "digest").where("bm25 > 0")
         order = Window.partitionBy("term_pos").orderBy(F.desc("bm25"), *KEY)
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+BLOCKS_DDL = "gram string, block string, df int, places binary, times binary, place int, path string, chunk_id string, dl long, digest long"
+BLOCKS = pa.schema([("gram", pa.string()), ("block", pa.string()), ("df", pa.int32()), ("places", pa.binary()), ("times", pa.binary()), ("place", pa.int32()), ("path", pa.string()), ("chunk_id", pa.string()), ("dl", pa.int64()), ("digest", pa.int64())])
+#: Rows of a batch that a task gives back.
+ROWS = 1 << 14
+
+
+def indexed(batches):
+    """Rows of BLOCKS of the chunks (path, chunk_id, lower-cased text, length, digest)."""
+    for rows, texts, numbers in blocks(batches):
+        name = uuid.uuid4().hex
+        yield _rows(BLOCKS, len(rows), gram=[""] * len(rows), block=[name] * len(rows), place=numbers, **dict(zip(("path", "chunk_id", "dl", "digest"), zip(*rows, strict=True), strict=True)))
+        for spelled, begins, number, times in counts(texts, numbers, GRAMS):
+            step = np.diff(number, prepend=0)
+            step[begins[:-1]] = number[begins[:-1]]
+            (places, at), (often, of) = packed(step, begins), packed(times, begins)
+            for i in range(0, len(spelled), ROWS):
+                e = min(i + ROWS, len(spelled))
+                yield _rows(
+                    BLOCKS, e - i, gram=spelled[i:e], block=[name] * (e - i), df=np.diff(begins[i : e + 1]),
+                    places=[places[a:z] for a, z in zip(at[i:e], at[i + 1 : e + 1], strict=True)], times=[often[a:z] for a, z in zip(of[i:e], of[i + 1 : e + 1], strict=True)],
+                )
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """A batch of the columns given, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def opened(batches):
+    """gram, block, place, tf of rows of gram, block, places, times."""
+    schema = pa.schema([("gram", pa.string()), ("block", pa.string()), ("place", pa.int32()), ("tf", pa.int64())])
+    for b in batches:
+        for gram, block, places, times in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            place = np.cumsum(unpacked(places))
+            yield _rows(schema, len(place), gram=[gram] * len(place), block=[block] * len(place), place=place, tf=unpacked(times))
+
+
 def keyword_search(chunks: DataFrame, query: str, k: int, **how) -> DataFrame:
     """The k best rows for the query as one term."""
     return ranked_terms(chunks, [query], k, **how).drop("term_pos")
@@ -164,17 +206,34 @@ def keyword_recall(chunks: DataFrame, query: str, k: int = 24, **how) -> DataFra
     return first.withColumn("kw_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term_pos", "rank"))).drop("_n")
 
 
-def counted(chunks: DataFrame, *more: str) -> DataFrame:
-    """gram, path, chunk_id, tf and the columns `more`, for each n-gram of every chunk."""
-
-    @F.pandas_udf("array<struct<gram:string,tf:long>>")
-    def count(lowered):
-        return pd.Series([list(Counter(t[i : i + n] for n in GRAMS for i in range(len(t) - n + 1)).items()) if t else [] for t in lowered], dtype=object)
-
-    each = chunks.select(*KEY, *more, F.explode(count(F.lower("text"))).alias("_g"))
-    return each.select(F.col("_g.gram").alias("gram"), *KEY, F.col("_g.tf").alias("tf"), *more)
-
-
 def postings(chunks: DataFrame) -> DataFrame:
     """(gram, path, chunk_id, tf): the n-gram index, for many queries over one corpus; in time linear in a chunk's length."""
-    return counted(spread(chunks)).groupBy("gram", *KEY).agg(F.sum("tf").alias("tf"))
+    schema = pa.schema([("gram", pa.string()), ("path", pa.string()), ("chunk_id", pa.string()), ("tf", pa.int64())])
+
+    def run(batches):
+        for rows, texts, numbers in blocks(batches):
+            for spelled, begins, number, times in counts(texts, numbers, GRAMS):
+                gram = np.repeat(np.arange(len(spelled)), np.diff(begins))
+                for i in range(0, len(gram), ROWS):
+                    own = [rows[d] for d in number[i : i + ROWS]]
+                    yield _rows(schema, len(own), gram=[spelled[g] for g in gram[i : i + ROWS]], path=[r[0] for r in own], chunk_id=[r[1] for r in own], tf=times[i : i + ROWS])
+
+    each = spread(chunks.select(*KEY, F.lower("text").alias("text"))).mapInArrow(run, "gram string, path string, chunk_id string, tf long")
+    return each.groupBy("gram", *KEY).agg(F.sum("tf").alias("tf"))
+
+
+def gram_totals(chunks: DataFrame) -> DataFrame:
+    """gram, df and cf: what `postings` come to for each n-gram. Postings are not shuffled: the texts are,
+    as rows of one path and chunk_id are one chunk, and then each block's sums."""
+    schema = pa.schema([("gram", pa.string()), ("df", pa.int64()), ("cf", pa.int64())])
+
+    def run(batches):
+        for _, texts, numbers in blocks(batches, same=True):
+            for spelled, begins, _, times in counts(texts, numbers, GRAMS):
+                cf = np.add.reduceat(times, begins[:-1]) if len(times) else times
+                for i in range(0, len(spelled), ROWS):
+                    e = min(i + ROWS, len(spelled))
+                    yield _rows(schema, e - i, gram=spelled[i:e], df=np.diff(begins[i : e + 1]), cf=cf[i:e])
+
+    met = chunks.select(*KEY, F.lower("text").alias("text")).repartition(*KEY).sortWithinPartitions(*KEY)
+    return met.mapInArrow(run, "gram string, df long, cf long").groupBy("gram").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))

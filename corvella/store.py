@@ -125,7 +125,7 @@ class ChunkStore:
         if self._words is None or self._words[0] != n:
             at = f"{self.path}/words-{n}"
             try:
-                made = KeywordIndex(self.spark, at) if self._fs.exists(self._at(f"words-{n}/corpus/_SUCCESS")) else KeywordIndex.build(self.read(), at)
+                made = KeywordIndex(self.spark, at) if self._fs.exists(self._at(f"words-{n}/totals/_SUCCESS")) else KeywordIndex.build(self.read(), at)
             except Exception:  # an index is a help, not a need
                 made = None
             self._words = (n, made)
