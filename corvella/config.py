@@ -26,7 +26,7 @@ class KBConfig:
     dimensions: int = 1024
     embed_model: str = ""
     max_file_bytes: int = 5_000_000
-    max_files: int = 10_000
+    max_files: int | None = 10_000  # None: all
     vector_backend: str = "snapshot"
     extra: dict = field(default_factory=dict)
 

@@ -86,7 +86,8 @@ class Indexer:
 
     def disk(self) -> DataFrame:
         """One file more than max_files is listed, so that a cut listing shows."""
-        return scan(self.spark, self.kb.root, patterns=list(self.kb.patterns), path_filter=self.kb.path_filter, max_bytes=self.kb.max_file_bytes, max_files=self.kb.max_files + 1)
+        most = None if self.kb.max_files is None else self.kb.max_files + 1
+        return scan(self.spark, self.kb.root, patterns=list(self.kb.patterns), path_filter=self.kb.path_filter, max_bytes=self.kb.max_file_bytes, max_files=most)
 
     def warm_up(self) -> bool:
         """One tiny request, so that the model is loaded when the work begins; its failure stops nothing."""
@@ -118,11 +119,12 @@ class Indexer:
         began = time.time()
         with locked(self.spark, self.lock):
             warm = self.warm_up()
-            listed = self.disk().select("path", "mtime_ns")
-            cut = listed.count() > self.kb.max_files
-            names = listed.orderBy("path").limit(self.kb.max_files)  # names alone are ranked; contents follow
-            wanted = [r["path"] for r in changed(names, self.store.mtimes(), force=force).select("path").collect()]  # max_files at most
-            documents = parse(contents(self.spark, wanted), see=self.see, parsers=self.parsers).persist()
+            listed = self.disk().persist()  # one listing for all that follows
+            most = self.kb.max_files
+            cut = most is not None and listed.count() > most
+            names = listed.orderBy("path").limit(most) if cut else listed  # names alone are ranked; contents follow
+            wanted = changed(names, self.store.mtimes(), force=force)
+            documents = parse(contents(wanted, self.kb.root), see=self.see, parsers=self.parsers).persist()
             images_error = None
             try:
                 errors = failures(documents)
@@ -141,11 +143,12 @@ class Indexer:
             pruned = self.store.prune(names) if prune and not cut and self.store.version() is not None else 0
             if pruned and self.images.version() is not None:
                 self.images.prune(names)
-            optimized = self.store.optimize()
+            optimized, n_names = self.store.optimize(), names.count()
+            listed.unpersist()
             return {
                 "files_indexed": n_good,
                 "files_failed": n_failed,
-                "files_skipped": names.count() - n_good - n_failed,
+                "files_skipped": n_names - n_good - n_failed,
                 "chunks_inserted": done["inserted"],
                 "images_inserted": n_images,
                 "images_error": images_error,

@@ -38,3 +38,9 @@ def test_references_in_titles(spark, tmp_path):
 def test_a_text_is_hashed_once(spark):
     made = spark.range(1).select(HashingEmbedder(16).column(F.col("id").cast("string")).alias("v"))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_an_index_run_takes_all_files(spark, tmp_path):
+    """More files than a knowledge base's usual limit."""
+    pages = spark.range(10_100).selectExpr("id as page_id", "concat('page ', id) as html")
+    assert same(spark, tmp_path, "index_report", pages=pages)["paths"][0] == 10_100 - 1123
