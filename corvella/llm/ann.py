@@ -2,13 +2,15 @@
 
 Three rounds of random signs and a fast Hadamard transform rotate unit vectors; a vector's hash
 is the nearest signed axis. Each of many tables has two rotations of its own, and a bucket is a
-pair of axes. A query probes, in each table, the buckets of its nearest pairs, of which the fewer
-suffice the more points there are; the best of what stands there is ranked by exact inner
-products of the original vectors.
+pair of axes. A query looks at a few pairs of a few tables first; the k-th best of what it finds
+there says how near its neighbours are at least, and from that alone follows how far from its
+nearest pairs it must look in all tables. What stands there is ranked by exact inner products of
+the original vectors.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -56,6 +58,26 @@ class CrossPolytope:
             code = code * (2 * w) + 2 * axis + (y[np.arange(len(x)), axis] > 0)
         return code
 
+    def directions(self, x: np.ndarray, table: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row all signed axes of a chained hash, nearest first, and what each falls short of the first."""
+        y, w = self.rotated(x, table, k), self.widths[k]
+        both = np.concatenate((-y, y), axis=1)  # the negative, then the positive directions
+        near = np.argsort(-both, axis=1, kind="stable")
+        value = np.take_along_axis(both, near, axis=1)
+        return 2 * (near % w) + near // w, value[:, :1] - value
+
+    def within(self, x: np.ndarray, table: int, most: np.ndarray):
+        """For each row the buckets whose signed axes fall short of the nearest by its own `most` at most, in sum."""
+        sides = [self.directions(x, table, k) for k in range(len(self.widths))]
+        for r, limit in enumerate(most):
+            code, loss = np.zeros(1, dtype=np.int64), np.zeros(1)
+            for w, (own, short) in zip(self.widths, sides, strict=True):
+                n = np.searchsorted(short[r], limit - loss, "right")
+                i = np.repeat(np.arange(len(loss)), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                code, loss = code[i] * (2 * w) + own[r, j], loss[i] + short[r, j]
+            yield code
+
     def probes(self, x: np.ndarray, table: int, most: int) -> np.ndarray:
         """The `most` buckets (or all) whose signed axes are nearest, for each row: the sum over the
         chained hashes of what an axis falls short of the nearest one decides.
@@ -65,13 +87,8 @@ class CrossPolytope:
         """
         code, loss = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
         for k, w in enumerate(self.widths):
-            y = self.rotated(x, table, k)
-            both = np.concatenate((-y, y), axis=1)  # the negative, then the positive directions
             take = min(most, 2 * w)
-            near = np.argsort(-both, axis=1, kind="stable")[:, :take]
-            value = np.take_along_axis(both, near, axis=1)
-            short = value[:, :1] - value
-            own = 2 * (near % w) + near // w
+            own, short = (a[:, :take] for a in self.directions(x, table, k))
             i, j = np.nonzero(np.arange(1, code.shape[1] + 1)[:, None] * np.arange(1, take + 1)[None] <= most)
             code, loss = code[:, i] * (2 * w) + own[:, j], loss[:, i] + short[:, j]
             keep = np.argsort(loss, axis=1, kind="stable")[:, :most]
@@ -79,12 +96,56 @@ class CrossPolytope:
         return code
 
 
-def probes_for(rows: int, buckets: int) -> int:
-    """How many of so many buckets a query looks at, among so many points.
+#: Where a query looks first: so many of the nearest pairs in so many tables, whatever the table's size.
+FIRST_PROBES, FIRST_TABLES = 64, 4
+#: Of vectors that are just as near as the k-th that a query found first, it meets this share in some table.
+SURE = 0.95
+
+
+@functools.cache
+def reach(dim: int, tables: int, pairs: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines, rising, and how far a query must look to meet a vector of that cosine as often as SURE.
+
+    Distances are what buckets fall short by (`within`). They are measured on random pairs of
+    vectors, which the rotations make of any pair, so they depend on nothing in the table. They are
+    infinite where looking so far would take a query through more pairs than one table has.
+    """
+    n = 1 << max(1, (dim - 1).bit_length())
+    hashes, (q, z) = CrossPolytope(dim, tables, [n, n]), np.random.default_rng([11, dim]).normal(size=(2, pairs, dim))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    z -= (z * q).sum(axis=1, keepdims=True) * q
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    cosines, at = np.linspace(0, 1, 41), np.arange(pairs)
+    least = np.full((len(cosines), pairs), np.inf)
+    for t in range(tables):
+        loss = np.zeros((len(cosines), pairs))
+        for k in range(2):
+            y, other = hashes.rotated(q, t, k), hashes.rotated(z, t, k)
+            top = np.abs(y).max(axis=1)
+            for i, c in enumerate(cosines):
+                v = c * y + math.sqrt(1 - c * c) * other
+                axis = np.abs(v).argmax(axis=1)
+                loss[i] += top - y[at, axis] * np.where(v[at, axis] > 0, 1, -1)
+        least = np.minimum(least, loss)
+    far = np.maximum.accumulate(np.quantile(least, SURE, axis=1)[::-1])[::-1]
+    first, second = (hashes.directions(q[:64], 0, k)[1] for k in range(2))
+    seen = np.array([np.mean([np.searchsorted(b, f - a, "right").sum() for a, b in zip(first, second, strict=True)]) for f in far])
+    return cosines, np.where(tables * seen < 4 * n**2, far, np.inf)
+
+
+def looks(cosines: np.ndarray, reached: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How far queries look (`reach`) for neighbours of their cosines: infinitely where these are unknown or too low."""
+    at, far = (a[np.isfinite(reached[1])] for a in reached)
+    if not len(at):
+        return np.full(len(cosines), np.inf)
+    some = np.isfinite(cosines)
+    known = np.where(some, cosines, 0)
+    return np.where(some & (known >= at[0]), np.interp(known, at, far), np.inf)
+
 
-    The k nearest of more points are nearer, so that a smaller share finds them: it falls with a
-    power of the number of points. Few points are looked at whole. The constants are measured on
-    uniformly random directions in 64 dimensions, which have no structure to help.
+def probes_for(rows: int, buckets: int) -> int:
+    """An estimate for planning, which the search doesn't use: pairs of so many that find about 0.94
+    of 20 neighbours among so many uniformly random directions in 64 dimensions.
     """
     share = 0.011 * (51_282 / max(1, rows)) ** 0.27 + (500 / max(1, rows)) ** 2
     return max(1, min(buckets, math.ceil(buckets * share)))
@@ -150,7 +211,7 @@ FOUND_DDL = "q long, ids array<long>, scores array<double>"
 
 
 def by_dimension(batches, shape: dict, tables: int):
-    """For each batch and dimension: the dimension, its hashes, reps, vectors' bytes, vectors and norms."""
+    """For each batch and dimension: the dimension, its hashes, reps, vectors' bytes, vectors, norms and further numbers."""
     made: dict = {}
     for b in batches:
         dims = np.array(b.column(1).to_pylist())
@@ -160,14 +221,15 @@ def by_dimension(batches, shape: dict, tables: int):
                 n = 1 << max(1, (d + shape[d]["uneven"] - 1).bit_length())
                 made[d] = CrossPolytope(d + shape[d]["uneven"], tables, [n, n])
             raw = part.column(2).to_pylist()
-            yield d, made[d], np.array(part.column(0).to_pylist(), dtype=np.int64), raw, matrix(raw, d).astype(np.float64), np.array(part.column(3).to_pylist())
+            rest = [np.array(c.to_pylist(), dtype=np.float64) for c in part.columns[3:]]
+            yield d, made[d], np.array(part.column(0).to_pylist(), dtype=np.int64), raw, matrix(raw, d).astype(np.float64), *rest
 
 
 def indexed(rows: DataFrame, shape: dict, tables: int) -> DataFrame:
     """A row for each table of every point: the bucket (table and slice of its pairs), the pair's place
     in it, the point and its vector.
 
-    shape: of each dimension the largest norm and whether norms differ. Vectors are hashed as unit
+    shape: of each dimension the largest norm, whether norms differ, and how far queries look. Vectors are hashed as unit
     vectors; where norms differ, points get one more component that makes them so after division
     by the largest norm, and the nearest direction is then the largest inner product.
     """
@@ -187,40 +249,74 @@ def indexed(rows: DataFrame, shape: dict, tables: int) -> DataFrame:
 
 
 def probed(rows: DataFrame, shape: dict, tables: int) -> DataFrame:
-    """A row for each bucket that a query looks into: the pairs' places that it wants of it."""
+    """A row for each bucket that a query looks into: the pairs' places that it wants of it, none for all.
 
-    def run(batches):
-        for d, hashes, reps, raw, x, norm in by_dimension(batches, shape, tables):
-            u, each = x / norm[:, None], 4 * hashes.n**2 // min(SLICES, 2 * hashes.n)
-            for t in range(tables):
+    Without a column `far` these are its nearest pairs in the first tables; else what lies near enough
+    to hold vectors of that inner product. If that would be more than all pairs of one table, or `far`
+    is null, it is one table as a whole, where every point stands once.
+    """
+    again = "far" in rows.columns
+
+    def of(d, hashes, u, norm, far):
+        """Table, row and codes (None: all) of what each row looks at."""
+        if far is None:
+            for t in range(min(tables, FIRST_TABLES)):
                 for begin in range(0, len(u), 128):
-                    wanted, out = np.sort(hashes.probes(u[begin : begin + 128], t, shape[d]["probes"]), axis=1), []
-                    for i, row in enumerate(wanted, begin):
-                        part = row // each
-                        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(row)], strict=True):
-                            out.append((d, int(part[s]) + t * SLICES, (row[s:e] % each).astype("<u4").tobytes(), reps[i], raw[i]))
+                    yield from ((t, i, c) for i, c in enumerate(hashes.probes(u[begin : begin + 128], t, FIRST_PROBES), begin))
+            return
+        most = looks(far / norm / shape[d]["top"], shape[d]["reach"])
+        yield from ((0, i, None) for i in np.flatnonzero(np.isinf(most)).tolist())
+        some = np.flatnonzero(np.isfinite(most))
+        for t in range(tables):
+            for begin in range(0, len(some), 128):
+                rows = some[begin : begin + 128]
+                yield from ((t, i, c) for i, c in zip(rows.tolist(), hashes.within(u[rows], t, most[rows]), strict=True))
+
+    def run(batches):
+        for d, hashes, reps, raw, x, norm, *far in by_dimension(batches, shape, tables):
+            slices = min(SLICES, 2 * hashes.n)
+            each, out, size = 4 * hashes.n**2 // slices, [], 0
+            for t, i, code in of(d, hashes, x / norm[:, None], norm, far[0] if far else None):
+                if code is None:
+                    out += [(d, s + t * SLICES, b"", reps[i], raw[i]) for s in range(slices)]
+                else:
+                    code = np.sort(code)
+                    part = code // each
+                    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                    for s, e in zip(at.tolist(), [*at[1:].tolist(), len(code)], strict=True):
+                        out.append((d, int(part[s]) + t * SLICES, (code[s:e] % each).astype("<u4").tobytes(), reps[i], raw[i]))
+                    size += 4 * len(code)
+                if len(out) >= 1024 or size > 1 << 23:
                     yield batch(PROBE, *zip(*out, strict=True))
+                    out, size = [], 0
+            if out:
+                yield batch(PROBE, *zip(*out, strict=True))
 
-    return rows.select("rep", "dim", "vec", "norm").mapInArrow(trimmed(run), PROBE_DDL)
+    return rows.select("rep", "dim", "vec", "norm", *(["far"] if again else [])).mapInArrow(trimmed(run), PROBE_DDL)
 
 
 def look(a: pd.DataFrame, b: pd.DataFrame, k: int, block: int = 1 << 18) -> pd.DataFrame:
-    """q, ids, scores: of a bucket's points (a) those at the places that queries (b) want, the k nearest."""
-    nothing = pd.DataFrame({"q": [], "ids": [], "scores": []})
+    """q, ids, scores: of a bucket's points (a) those at the places that queries (b) want, the k nearest.
+
+    A query that wants no place in particular wants all of them.
+    """
+    nothing = pd.DataFrame({"q": [], "ids": [], "scores": []}, dtype=object)
     if not len(a) or not len(b):
         return nothing
     d, inner = int(a["dim"].iloc[0]), a["inner"].to_numpy()
     order = np.argsort(inner, kind="stable")
     x, reps, inner = matrix(list(a["vec"]), d).astype(np.float64)[order], a["rep"].to_numpy()[order], inner[order]
     q = matrix(list(b["vec"]), d).astype(np.float64)
-    wanted = [np.frombuffer(s, dtype="<u4") for s in b["wanted"]]
+    wanted, out = [np.frombuffer(s, dtype="<u4") for s in b["wanted"]], []
+    whole, step = np.flatnonzero([not len(w) for w in wanted]), max(1, min(16 * block // len(x), 8 * block // ((k + 4) * d)))
+    for rows in (whole[s : s + step] for s in range(0, len(whole), step)):
+        out += zip(b["rep"].to_numpy()[rows], *map(list, best(q[rows], reps, x, k)), strict=True)
     owner = np.repeat(np.arange(len(b)), [len(w) for w in wanted])
     wanted = np.concatenate(wanted).astype(np.int64)
     lo, hi = np.searchsorted(inner, wanted, "left"), np.searchsorted(inner, wanted, "right")
     there = hi > lo
     owner, lo, n = owner[there], lo[there], (hi - lo)[there]
-    out, begin, total = [], 0, np.cumsum(n)
+    begin, total = 0, np.cumsum(n)
     while begin < len(owner):
         end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + block, "right")))
         size = n[begin:end]
@@ -282,8 +378,10 @@ def search(vectors: DataFrame, is_query, scratch: Scratch, *, k: int = 20, table
     Equal vectors are one point of the index: of each the k + 1 smallest ids are kept, as no more
     can be among a query's k nearest, so a third of all rows being one vector costs no more than
     one. Points and queries meet in the buckets, where only the pairs that a query wants are
-    compared. Buckets of very many points or queries are dealt out in chunks. A query whose buckets
-    hold too few points is compared with all points, in blocks of queries.
+    compared. Buckets of very many points or queries are dealt out in chunks. They meet twice: the
+    k-th best score of the first time, and no number of rows, says where a query looks the second
+    time. So points that are far from a query change nothing in what it finds. A query that found
+    fewer than k the first time, or only far ones, is compared with all points.
     """
     spark = vectors.sparkSession
     rows = scratch.cut(valid(vectors).withColumn("_d", F.md5("vec")), "rows")
@@ -292,51 +390,41 @@ def search(vectors: DataFrame, is_query, scratch: Scratch, *, k: int = 20, table
     points = few.where("_n = 1").select("rep", "dim", "vec", "norm")
     asked = scratch.cut(rows.where(is_query).select("vec_id", "dim", "_d").join(few.where("_n = 1").select("dim", "_d", "rep"), ["dim", "_d"]).select("vec_id", "dim", "rep"), "asked")
     shape = {}
-    for r in points.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top"), F.min("norm").alias("low")).collect():
+    for r in points.groupBy("dim").agg(F.max("norm").alias("top"), F.min("norm").alias("low")).collect():
         uneven = int(r["low"] < r["top"] * (1 - 1e-5))
-        axes = 2 << max(1, (r["dim"] + uneven - 1).bit_length())
-        shape[r["dim"]] = {"top": r["top"], "uneven": uneven, "probes": probes_for(r["n"], axes * axes)}
+        shape[r["dim"]] = {"top": r["top"], "uneven": uneven, "reach": reach(r["dim"] + uneven, tables)}
     if not shape:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = points.join(asked.select("dim", "rep").distinct(), ["dim", "rep"], "left_semi")
 
     index = scratch.cut(indexed(points, shape, tables), "index")
-    probe = scratch.cut(probed(queries, shape, tables), "probe")
 
     def parts(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("dim", "bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias(name))
 
-    grid = scratch.cut(parts(index, "n_i").join(parts(probe, "n_q"), ["dim", "bucket"]), "grid")
-
-    def deal(side: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
-        rest = [c for c in side.columns if c not in ("dim", "bucket")]
-        return (
-            side.join(grid, ["dim", "bucket"])
-            .withColumn(own_part, F.pmod(F.xxhash64("rep"), F.col(own)))
-            .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select("dim", "bucket", F.col("i").cast("long"), F.col("j").cast("long"), *rest)
-        )
-
-    key = ["dim", "bucket", "i", "j"]
-    left, right = deal(index, "n_i", "n_q", "i", "j"), deal(probe, "n_q", "n_i", "j", "i")
-    found = merge(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: look(a, b, k + 1), FOUND_DDL), k + 1)
-    found = scratch.cut(found, "found")
-    scratch.drop("index", "probe")
-
-    # queries that found fewer points than there are to find
-    want = F.col("dim").cast("string")
-    enough = F.create_map(*(F.lit(x) for r in points.groupBy("dim").count().collect() for x in (str(r["dim"]), min(k + 1, r["count"]))))
-    lacking = scratch.cut(queries.join(found.where(F.size("ids") > 0).select(F.col("q").alias("rep"), F.size("ids").alias("_found")), "rep", "left").where(F.coalesce("_found", F.lit(0)) < enough[want]).select("rep", "dim", "vec"), "lacking")
-    extra, block = [], []
-    for r in lacking.toLocalIterator():
-        block.append((r["rep"], r["dim"], bytes(r["vec"])))
-        if len(block) == 1024:
-            extra.append(scratch.cut(merge(scan(points, block, k + 1), k + 1), f"extra{len(extra)}"))
-            block = []
-    if block:
-        extra.append(scratch.cut(merge(scan(points, block, k + 1), k + 1), f"extra{len(extra)}"))
-    for e in extra:
-        found = found.join(e.select("q"), "q", "left_anti").unionByName(e)
+    def met(index: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+        """Of each query the lists of what it finds in the buckets that it looks into."""
+        probe = scratch.cut(probed(queries, shape, tables), f"probe{name}")
+        grid = scratch.cut(parts(index, "n_i").join(parts(probe, "n_q"), ["dim", "bucket"]), f"grid{name}")
+
+        def deal(side: DataFrame, own: str, other: str, own_part: str, other_part: str) -> DataFrame:
+            rest = [c for c in side.columns if c not in ("dim", "bucket")]
+            return (
+                side.join(grid, ["dim", "bucket"])
+                .withColumn(own_part, F.pmod(F.xxhash64("rep"), F.col(own)))
+                .withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+                .select("dim", "bucket", F.col("i").cast("long"), F.col("j").cast("long"), *rest)
+            )
+
+        key = ["dim", "bucket", "i", "j"]
+        left, right = deal(index, "n_i", "n_q", "i", "j"), deal(probe, "n_q", "n_i", "j", "i")
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: look(a, b, k + 1), FOUND_DDL)
+
+    first = scratch.cut(merge(met(index.where(F.col("bucket") < FIRST_TABLES * SLICES), queries, "0"), k + 1), "first")
+    scratch.drop("probe0")
+    far = first.select(F.col("q").alias("rep"), F.get("scores", F.lit(k)).alias("far"))
+    found = scratch.cut(merge(met(index, queries.join(far, "rep", "left"), "1").unionByName(first), k + 1), "found")
+    scratch.drop("index", "probe1")
 
     near = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("q", F.col("x.ids").alias("rep"), F.col("x.scores").alias("score"))
     each = near.join(few.select("rep", "vec_id"), "rep")
@@ -344,18 +432,3 @@ def search(vectors: DataFrame, is_query, scratch: Scratch, *, k: int = 20, table
     lists = top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("l"))
     full = asked.join(lists, asked["rep"] == lists["q"]).select(asked["vec_id"].alias("query_id"), F.slice(F.expr("filter(l, x -> x.vec_id <> vec_id)"), 1, k).alias("l"))
     return full.select("query_id", F.posexplode("l").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
-
-
-def scan(points: DataFrame, block: list, k: int) -> DataFrame:
-    """The k best of every batch of points for each query of a block, by comparison with all."""
-
-    def run(batches):
-        for b in batches:
-            dims = np.array(b.column(1).to_pylist())
-            for d in {x[1] for x in block} & set(dims.tolist()):
-                part = b.take(pa.array(np.flatnonzero(dims == d)))
-                own = [x for x in block if x[1] == d]
-                ids, scores = best(matrix([x[2] for x in own], d), np.array(part.column(0).to_pylist()), matrix(part.column(2).to_pylist(), d), k)
-                yield batch(FOUND, [x[0] for x in own], list(ids), list(scores))
-
-    return points.select("rep", "dim", "vec").mapInArrow(run, FOUND_DDL)

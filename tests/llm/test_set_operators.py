@@ -273,6 +273,38 @@ def test_share_of_points_that_are_looked_at_falls():
     assert at[0] == 16384 and at == sorted(at, reverse=True) and at[-1] < at[2] / 10
 
 
+def test_points_far_from_all_queries_change_nothing(spark, table):
+    """Where a query looks follows from its own scores, so no number of points that it isn't near matters."""
+    rng = np.random.default_rng(4)
+    g = rng.normal(size=(10_000, 23))
+    g /= np.linalg.norm(g, axis=1)[:, None]
+    x = np.concatenate((np.full((len(g), 1), 0.35), g * math.sqrt(1 - 0.35**2)), axis=1)
+    x[2000:] = np.concatenate((np.full((8000, 1), -0.99), g[2000:] * math.sqrt(1 - 0.99**2)), axis=1)
+    ddl, rows = "vec_id long, embedding array<double>", [(i if i < 2000 else 20 * i + 1, v.tolist()) for i, v in enumerate(x)]
+    few, many = (sorted(map(tuple, search(spark, table(r, ddl), 10).collect())) for r in (rows[:2000], rows))
+    assert few == many and len(few) == 1000
+    scores = x[:2000:20] @ x[:2000].T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -9
+    want = {(20 * q, int(i)) for q, near in enumerate(np.argsort(-scores, axis=1)[:, :10]) for i in near}
+    assert len({(q, i) for q, _, i, _ in many} & want) >= 900
+
+
+def test_looks_reach_what_they_promise():
+    """Fresh pairs of a cosine meet in some table as often as promised; unknown or low ones ask for all."""
+    rng, hashes, reached = np.random.default_rng(5), ann.CrossPolytope(64, 12, [64, 64]), ann.reach(64, 12)
+    q, z = rng.normal(size=(2, 400, 64))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    z -= (z * q).sum(axis=1)[:, None] * q
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    for c in (0.4, 0.6, 0.9):
+        x, met = c * q + math.sqrt(1 - c * c) * z, np.zeros(400, dtype=bool)
+        for t in range(12):
+            met |= [b in set(w.tolist()) for b, w in zip(hashes.buckets(x, t).tolist(), hashes.within(q, t, ann.looks(np.full(400, c), reached)), strict=True)]
+        assert met.mean() >= ann.SURE - 0.05
+    far = ann.looks(np.array([np.nan, -1.0, 0.0, 0.3, 0.6, 1.0]), reached)
+    assert np.isinf(far[:3]).all() and far[3] > far[4] > far[5] >= 0
+
+
 def test_few_vectors(spark, table):
     ddl = "vec_id long, embedding array<float>"
     got = search(spark, table([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [-1.0, 0.5])], ddl), 20).collect()
